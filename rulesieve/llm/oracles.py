@@ -30,4 +30,10 @@ g AS (SELECT id, arg_min(name, k) AS keep,
 SELECT DISTINCT q.id, g.keep, coalesce(g.severity, '') AS severity, coalesce(g.source, '') AS source
 FROM rule_clusters q LEFT JOIN g ON g.id = q.id""",
     "p8_roundtrip": "SELECT lang, count(*) AS documents, 0::BIGINT AS changed FROM documents GROUP BY lang",
+    "p9_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM test_items WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, array_to_string(w[s:s + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d)),
+iw AS (SELECT item_id, array_to_string(w[s:s + 12], ' ') AS k FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS s FROM i))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (k)""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulesieve.llm import cofiring, components, survivor, tokenizer
+from rulesieve.llm import cofiring, components, contamination, sharedspans, survivor, tokenizer
 from rulesieve.session import table, trimmed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,19 @@ def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return same.groupBy("lang").agg(F.count("*").alias("documents"), F.count_if(~F.col("same")).alias("changed"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.leaks(table(spark, d, "documents"), table(spark, d, "test_items"), "doc_id", "item_id", "text")
+
+
+def p9_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks of 13 words of which one may be changed, dropped or added."""
+    return contamination.leaks(table(spark, d, "documents"), table(spark, d, "test_items"), "doc_id", "item_id", "text", edits=1, coordinates=6, recall=0.95)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sharedspans.shared_chars(table(spark, d, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
@@ -70,4 +83,7 @@ QUERIES: dict[str, Query] = {
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p8_roundtrip": p8_roundtrip,
+    "p9_found": p9_found,
+    "p9_edited": p9_edited,
+    "p10_found": p10_found,
 }
