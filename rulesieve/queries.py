@@ -2,5 +2,67 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rulesieve.operators import badrows, drift
+from rulesieve.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return badrows.rejects(badrows.load_rows(table(spark, d, "raw_rows"))).select("row_id", "reason").distinct()
+
+
+def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
+    return badrows.valid(badrows.load_rows(table(spark, d, "raw_rows"))).distinct()
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(table(spark, d, "rule_file_records")).drop("detail").distinct()
+
+
+def p6_table(spark: SparkSession, d: str) -> DataFrame:
+    return drift.consistent(table(spark, d, "rule_file_records"))
+
+
+QUERIES: dict[str, Query] = {
+    "p2_found": p2_found,
+    "p2_loaded": p2_loaded,
+    "p6_found": p6_found,
+    "p6_table": p6_table,
+}
+
+ORACLES: dict[str, str] = {
+    "p6_found": r"""
+WITH r AS (SELECT feed, file_no, record_no, arg_max(body, (loaded_at, body)) AS body FROM rule_file_records GROUP BY ALL),
+f AS (SELECT feed, file_no, row_number() OVER (PARTITION BY feed ORDER BY file_no) AS i FROM (SELECT DISTINCT feed, file_no FROM r)),
+k AS (SELECT feed, file_no, record_no, body, unnest(json_keys(body)) AS field FROM r),
+e AS (SELECT k.feed, f.i, record_no, field, json_extract_string(body, '$."' || field || '"') AS value,
+        CASE json_type(body, '$."' || field || '"') WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean'
+          WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind
+      FROM k JOIN f ON f.feed = k.feed AND f.file_no = k.file_no),
+v AS (SELECT * FROM e WHERE kind IS NOT NULL),
+t AS (SELECT feed, i, field, arg_min(kind, (-n, kind)) AS kind FROM (SELECT feed, i, field, kind, count(*) AS n FROM v GROUP BY ALL) GROUP BY ALL),
+last AS (SELECT feed, max(i) AS i FROM f GROUP BY feed),
+a AS (SELECT t.feed, t.i, t.field, t.kind, p.kind AS old FROM t LEFT JOIN t p ON p.feed = t.feed AND p.i = t.i - 1 AND p.field = t.field WHERE t.i > 1),
+g AS (SELECT t.feed, t.i + 1 AS i, t.field, t.kind FROM t JOIN last ON last.feed = t.feed AND t.i < last.i
+      WHERE NOT EXISTS (SELECT 1 FROM t n WHERE n.feed = t.feed AND n.i = t.i + 1 AND n.field = t.field)),
+w AS (SELECT feed, i, record_no, min(value) AS rule FROM v WHERE field IN ('name', 'Name', 'rule_name', 'ruleName', 'rule_id', 'id') GROUP BY ALL),
+b AS (SELECT DISTINCT g.feed, g.i, g.field, g.kind, w.rule, v.value FROM g JOIN v ON v.feed = g.feed AND v.i = g.i - 1 AND v.field = g.field
+      JOIN w ON w.feed = v.feed AND w.i = v.i AND w.record_no = v.record_no),
+c AS (SELECT DISTINCT a.feed, a.i, a.field, a.kind, w.rule, v.value FROM a JOIN v ON v.feed = a.feed AND v.i = a.i AND v.field = a.field
+      JOIN w ON w.feed = v.feed AND w.i = v.i AND w.record_no = v.record_no WHERE a.old IS NULL),
+m AS (SELECT b.feed, b.i, b.field AS gone, c.field AS come, count(*) FILTER (WHERE b.value = c.value) AS same, count(*) AS n
+      FROM b JOIN c USING (feed, i, kind, rule) GROUP BY ALL HAVING 2 * count(*) FILTER (WHERE b.value = c.value) > count(*)),
+q AS (SELECT *, row_number() OVER (PARTITION BY feed, i, gone ORDER BY same DESC, gone, come) AS r1,
+        row_number() OVER (PARTITION BY feed, i, come ORDER BY same DESC, gone, come) AS r2 FROM m),
+x AS (SELECT feed, i, field AS field_name, 'type_changed' AS drift_kind FROM a WHERE old <> kind
+  UNION ALL SELECT feed, i, come, 'renamed' FROM q WHERE r1 = 1 AND r2 = 1
+  UNION ALL SELECT feed, i, field, 'added' FROM a WHERE old IS NULL AND NOT EXISTS (SELECT 1 FROM q WHERE r1 = 1 AND r2 = 1 AND q.feed = a.feed AND q.i = a.i AND come = field)
+  UNION ALL SELECT feed, i, field, 'removed' FROM g WHERE NOT EXISTS (SELECT 1 FROM q WHERE r1 = 1 AND r2 = 1 AND q.feed = g.feed AND q.i = g.i AND gone = field))
+SELECT x.feed, f.file_no::BIGINT AS file_no, field_name, drift_kind FROM x JOIN f ON f.feed = x.feed AND f.i = x.i""",
+}
