@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulesieve.llm import cofiring, components, contamination, sharedspans, survivor, tokenizer
+from rulesieve.llm import cofiring, components, contamination, pii, sharedspans, survivor, tokenizer
 from rulesieve.session import table, trimmed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "entries"), "entry_id").drop("end_at").distinct()
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "entries"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = cofiring.pair_counts(table(spark, d, "rule_hits"), "entry_id", "rule_id", min_pair=4, min_share_inv=2000)
     return cofiring.over_chance(pairs, 4).select(F.col("item_a").alias("rule_id_a"), F.col("item_b").alias("rule_id_b"))
@@ -76,6 +84,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
     "p4_found": p4_found,
