@@ -39,7 +39,7 @@ SURNAME = re.compile(
     r"(?:ado|ano|ard|berg|by|croft|dóttir|eau|ett|ez|ford|ham|ier|ini|inska|itz|ley|mann|olo|ova|oux|quist|sen|shaw|ström|uddin|well|wick)"
 )
 PARTICLES = ("van", "von", "de", "der", "den", "del", "di", "da", "la", "le", "el", "al", "ben", "bin", "ten", "zu")
-TITLES = ("mr", "mrs", "ms", "mme", "m", "mlle", "dr", "prof", "herr", "herrn", "frau", "don", "doña", "señor", "señora", "sr", "sra", "sir", "miss")
+TITLES = ("mr", "mrs", "ms", "mme", "mlle", "dr", "prof", "herr", "herrn", "frau", "don", "doña", "señor", "señora", "sr", "sra", "sir", "miss")
 _STREET_EN = r"(?:street|road|lane|avenue|drive|terrace|court|close|way|boulevard|square|place|crescent|gardens|st|rd|ln|ave|dr|ter|ct|cl|blvd|sq|pl)\b\.?"
 _CAP = r"[^\W\d_a-zß-ÿ][^\W\d_]*(?:['’-][^\W\d_]+)*"
 _CITY = rf"{_CAP}(?: {_CAP})?"
@@ -73,6 +73,8 @@ PLAIN = re.compile(r"(?P<word>[^\W\d_]+(?:['’][^\W\d_]{2,}|-[^\W\d_]+)*)|(?P<n
 AROUND = 48
 _URL_BEFORE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/?#\"'<>]*\Z")
 _REPO_AFTER = re.compile(r":[\w.~-]+/")
+#: Candidates whose shape says so much that a weak yes of the field is enough.
+SURE = ("email", "phone", "address")
 GIVEN_SET = frozenset(GIVEN)
 
 
@@ -311,7 +313,7 @@ def spans(docs: list[list[tuple]], model: SkipChain) -> Iterator[tuple[int, int,
         while k < len(doc):
             label = LABELS[best[k]]
             kind, start, end, _, field = doc[k]
-            if label == kind:
+            if label == kind or (kind in SURE and marginal[k, LABELS.index(kind)] >= 0.1):
                 yield i, field, kind, start, end
             elif label == "B":
                 n = k + 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulesieve.llm import cofiring, components, contamination, pii, sharedspans, survivor, tokenizer
+from rulesieve.llm import cofiring, components, contamination, pii, secrets, sharedspans, survivor, tokenizer
 from rulesieve.session import table, trimmed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,14 @@ def p4_fused(spark: SparkSession, d: str) -> DataFrame:
     return _survivors(spark, d, False)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find(table(spark, d, "entries"), "entry_id").distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redact(table(spark, d, "entries"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "overlap_pairs").where("jaccard >= 0.6")
     name = lambda c: trimmed(F.col(c))
@@ -90,6 +98,8 @@ QUERIES: dict[str, Query] = {
     "p3_pairs": p3_pairs,
     "p4_found": p4_found,
     "p4_fused": p4_fused,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p8_roundtrip": p8_roundtrip,
