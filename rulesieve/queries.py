@@ -1,4 +1,4 @@
-"""Queries of the core operators and the SQL that gives the same rows."""
+"""Queries of the core operators, each over its whole tables."""
 
 from __future__ import annotations
 
@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulesieve.operators import badrows, drift
-from rulesieve.session import table
+from rulesieve.functions.stats import interval_width, is_confident, samples_needed, wilson
+from rulesieve.operators import badrows, classify, cluster, drift, evaluate, generate, matrix, quality
+from rulesieve.operators.match import match
+from rulesieve.oracles import ORACLES  # noqa: F401
+from rulesieve.plans.analyze import hits_of_corpus
+from rulesieve.session import cut, table
+from rulesieve.sources.corpus import first_seen
+from rulesieve.sources.rules import rules_of_table
+from rulesieve.streaming.matching import stream_hits, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,40 +36,195 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent(table(spark, d, "rule_file_records"))
 
 
+def _rules(spark: SparkSession, d: str) -> DataFrame:
+    return rules_of_table(table(spark, d, "base_rules"))
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.latest(table(spark, d, "entries"))
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "rule_hits")
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    return matrix.matrix_of_entries(_hits(spark, d))
+
+
+def rule_match_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Every base rule against every entry, Python's regular expressions."""
+    rules = _rules(spark, d)
+    return evaluate.match_counts(match(_entries(spark, d), rules), rules)
+
+
+def rule_match_counts_native(spark: SparkSession, d: str) -> DataFrame:
+    """The same on the JVM's engine with rewritten patterns."""
+    rules = _rules(spark, d)
+    return evaluate.match_counts(match(_entries(spark, d), rules, engine="auto"), rules)
+
+
+def partitioned_match_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rules only meet entries whose label equals the rule's detector."""
+    rules = _rules(spark, d)
+    return evaluate.match_counts(match(_entries(spark, d), rules, partition=("label", "detector")), rules)
+
+
+def never_firing_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules without an entry on which they match more than once."""
+    return evaluate.never_firing(_hits(spark, d).where("n_matches > 1"), _rules(spark, d))
+
+
+def match_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(spark, d)
+
+
+def corpus_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return matrix.entry_sizes(_hits(spark, d))
+
+
+def overlap_counts(spark: SparkSession, d: str) -> DataFrame:
+    return matrix.overlap_counts(_cells(spark, d), _rules(spark, d))
+
+
+def fp_potential(spark: SparkSession, d: str) -> DataFrame:
+    return matrix.fp_potential(_cells(spark, d), _rules(spark, d))
+
+
+def unique_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return matrix.unique_coverage(_cells(spark, d), matrix.entry_sizes(_hits(spark, d)), _rules(spark, d))
+
+
+def exact_unique(spark: SparkSession, d: str) -> DataFrame:
+    return matrix.exact_unique(_hits(spark, d), _rules(spark, d))
+
+
+def _ratios(spark: SparkSession, d: str) -> DataFrame:
+    return classify.pair_ratios(cut(_cells(spark, d)), matrix.entry_sizes(_hits(spark, d)))
+
+
+def pair_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return _ratios(spark, d).select("rule_a", "rule_b", "ab", "ba", *[F.round(c, 4).alias(c) for c in ("a2b", "b2a", "jaccard")])
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    # real entries share far fewer hits than strings made for a rule, hence the lower thresholds
+    rules, cells = _rules(spark, d), cut(_cells(spark, d))
+    ratios = classify.pair_ratios(cells, matrix.entry_sizes(_hits(spark, d)))
+    return classify.classify(ratios, rules, matrix.overlap_counts(cells, rules), threshold=0.4, overlap_min=0.1, catch_all_over=30)
+
+
+def pair_classification(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("rule_id_a", "rule_id_b", "rule_a", "rule_b", "overlap_a_to_b", "overlap_b_to_a", "jaccard", "relationship", "recommendation", "reason", "downstream_label_loss")
+
+
+def pair_totals(spark: SparkSession, d: str) -> DataFrame:
+    return classify.totals(_pairs(spark, d))
+
+
+def wilson_ci(spark: SparkSession, d: str) -> DataFrame:
+    p = _ratios(spark, d)
+    ci = wilson(F.col("ab"), F.col("size_b"))
+    return p.select(
+        "rule_a", "rule_b", ci["lo"].alias("lo"), ci["hi"].alias("hi"), interval_width(ci).alias("width"),
+        is_confident(F.col("ab"), F.col("size_b"), 0.1).alias("confident"), samples_needed(F.col("ab"), F.col("size_b")).alias("samples"),
+    )
+
+
+def clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Members of clusters over pairs with jaccard >= 0.25, with the rule to keep."""
+    found = cluster.clusters(_pairs(spark, d), _rules(spark, d), threshold=0.25)
+    return found.select(F.col("id").cast("bigint").alias("id"), F.explode("rules").alias("rule"), "keep", "reason")
+
+
+def co_firing(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.co_firing(_hits(spark, d), _rules(spark, d))
+
+
+def co_firing_top(spark: SparkSession, d: str) -> DataFrame:
+    """The 100 pairs that fire together most often."""
+    return evaluate.co_firing_top(co_firing(spark, d))
+
+
+def labeled_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.labelled_metrics(_hits(spark, d), _entries(spark, d), _rules(spark, d))
+
+
+def labeled_summary(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.labelled_summary(labeled_metrics(spark, d))
+
+
+def coverage_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of the busiest source against all others."""
+    sides = _entries(spark, d).select("entry_id", F.when(F.col("source") == "monolith-audit", "a").otherwise("b").alias("side"))
+    return evaluate.drift(_hits(spark, d), sides, _rules(spark, d), threshold=0.005)
+
+
+def report_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Rules by source with the sum of their matches."""
+    cells = _cells(spark, d).groupBy("rule_id").agg(F.sum("cnt").alias("cnt"))
+    return _rules(spark, d).join(cells, "rule_id", "left").groupBy("source").agg(F.count("*").alias("rules"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("positive_matches"))
+
+
+def matrix_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Matches by detector and rule with subtotals."""
+    hits = matrix.distinct_hits(_hits(spark, d)).join(_rules(spark, d).select("rule_id", "detector", "name"), "rule_id")
+    return hits.rollup("detector", "name").agg(F.count("*").alias("matches"))
+
+
+def diversity_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return generate.diversity(table(spark, d, "documents"), "source")
+
+
+def first_seen_lines(spark: SparkSession, d: str) -> DataFrame:
+    """First document and line of every distinct line of the documents."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return first_seen(lines.where("line <> ''"), "line", ["doc_id", "line_no"]).select(F.md5("line").alias("line_md5"), "doc_id", F.col("line_no").cast("bigint").alias("line_no"))
+
+
+def event_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Four rules on the property text of events."""
+    rules = spark.createDataFrame([(1, "even", r"[02468]\}"), (2, "small", r": \d\}"), (3, "key", r'^\{"k"'), (4, "never", "absent")], "rule_id int, name string, pattern string")
+    hits = match(table(spark, d, "events"), rules, entry_key="event_id", text="props")
+    return hits.groupBy("rule_id").agg(F.count("*").alias("matched")).join(rules, "rule_id", "right").select("name", F.coalesce("matched", F.lit(0)).alias("matched"))
+
+
+def hits_by_window(spark: SparkSession, d: str) -> DataFrame:
+    """Hits per rule and day, by the operator that also runs on streams."""
+    entries = table(spark, d, "entries").where("seen_at IS NOT NULL").dropDuplicates(["entry_id"])
+    return windowed_counts(stream_hits(entries, _rules(spark, d)), window="1 day")
+
+
+def complexity(spark: SparkSession, d: str) -> DataFrame:
+    return quality.complexities(_rules(spark, d))
+
+
+def rule_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality(_rules(spark, d), cut(_cells(spark, d)), matrix.entry_sizes(_hits(spark, d)), quality.random_strings(spark))
+
+
+def quality_summary(spark: SparkSession, d: str) -> DataFrame:
+    return quality.summary(rule_quality(spark, d))
+
+
+def synthetic_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Overlap of the base rules on strings made from them: rule, strings, related rules."""
+    rules = _rules(spark, d).withColumn("rule_id", F.col("rule_id").cast("int"))
+    corpus = generate.generate(rules, generate.Settings(samples=30), skip_invalid=True)
+    cells = cut(matrix.matrix_of_corpus(hits_of_corpus(corpus, rules), corpus))
+    sizes = matrix.corpus_sizes(corpus)
+    pairs = classify.classify(classify.pair_ratios(cells, sizes), rules, matrix.overlap_counts(cells, rules))
+    related = pairs.groupBy(F.col("rule_a").alias("name")).agg(F.count("*").alias("related"))
+    return sizes.join(rules.select("rule_id", "name"), "rule_id").select("name", "n").join(related, "name", "left").na.fill(0, ["related"])
+
+
 QUERIES: dict[str, Query] = {
-    "p2_found": p2_found,
-    "p2_loaded": p2_loaded,
-    "p6_found": p6_found,
-    "p6_table": p6_table,
-}
-
-ORACLES: dict[str, str] = {
-    "p6_found": r"""
-WITH r AS (SELECT feed, file_no, record_no, arg_max(body, (loaded_at, body)) AS body FROM rule_file_records GROUP BY ALL),
-f AS (SELECT feed, file_no, row_number() OVER (PARTITION BY feed ORDER BY file_no) AS i FROM (SELECT DISTINCT feed, file_no FROM r)),
-k AS (SELECT feed, file_no, record_no, body, unnest(json_keys(body)) AS field FROM r),
-e AS (SELECT k.feed, f.i, record_no, field, json_extract_string(body, '$."' || field || '"') AS value,
-        CASE json_type(body, '$."' || field || '"') WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean'
-          WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind
-      FROM k JOIN f ON f.feed = k.feed AND f.file_no = k.file_no),
-v AS (SELECT * FROM e WHERE kind IS NOT NULL),
-t AS (SELECT feed, i, field, arg_min(kind, (-n, kind)) AS kind FROM (SELECT feed, i, field, kind, count(*) AS n FROM v GROUP BY ALL) GROUP BY ALL),
-last AS (SELECT feed, max(i) AS i FROM f GROUP BY feed),
-a AS (SELECT t.feed, t.i, t.field, t.kind, p.kind AS old FROM t LEFT JOIN t p ON p.feed = t.feed AND p.i = t.i - 1 AND p.field = t.field WHERE t.i > 1),
-g AS (SELECT t.feed, t.i + 1 AS i, t.field, t.kind FROM t JOIN last ON last.feed = t.feed AND t.i < last.i
-      WHERE NOT EXISTS (SELECT 1 FROM t n WHERE n.feed = t.feed AND n.i = t.i + 1 AND n.field = t.field)),
-w AS (SELECT feed, i, record_no, min(value) AS rule FROM v WHERE field IN ('name', 'Name', 'rule_name', 'ruleName', 'rule_id', 'id') GROUP BY ALL),
-b AS (SELECT DISTINCT g.feed, g.i, g.field, g.kind, w.rule, v.value FROM g JOIN v ON v.feed = g.feed AND v.i = g.i - 1 AND v.field = g.field
-      JOIN w ON w.feed = v.feed AND w.i = v.i AND w.record_no = v.record_no),
-c AS (SELECT DISTINCT a.feed, a.i, a.field, a.kind, w.rule, v.value FROM a JOIN v ON v.feed = a.feed AND v.i = a.i AND v.field = a.field
-      JOIN w ON w.feed = v.feed AND w.i = v.i AND w.record_no = v.record_no WHERE a.old IS NULL),
-m AS (SELECT b.feed, b.i, b.field AS gone, c.field AS come, count(*) FILTER (WHERE b.value = c.value) AS same, count(*) AS n
-      FROM b JOIN c USING (feed, i, kind, rule) GROUP BY ALL HAVING 2 * count(*) FILTER (WHERE b.value = c.value) > count(*)),
-q AS (SELECT *, row_number() OVER (PARTITION BY feed, i, gone ORDER BY same DESC, gone, come) AS r1,
-        row_number() OVER (PARTITION BY feed, i, come ORDER BY same DESC, gone, come) AS r2 FROM m),
-x AS (SELECT feed, i, field AS field_name, 'type_changed' AS drift_kind FROM a WHERE old <> kind
-  UNION ALL SELECT feed, i, come, 'renamed' FROM q WHERE r1 = 1 AND r2 = 1
-  UNION ALL SELECT feed, i, field, 'added' FROM a WHERE old IS NULL AND NOT EXISTS (SELECT 1 FROM q WHERE r1 = 1 AND r2 = 1 AND q.feed = a.feed AND q.i = a.i AND come = field)
-  UNION ALL SELECT feed, i, field, 'removed' FROM g WHERE NOT EXISTS (SELECT 1 FROM q WHERE r1 = 1 AND r2 = 1 AND q.feed = g.feed AND q.i = g.i AND gone = field))
-SELECT x.feed, f.file_no::BIGINT AS file_no, field_name, drift_kind FROM x JOIN f ON f.feed = x.feed AND f.i = x.i""",
-}
+    f.__name__: f
+    for f in (
+        rule_match_counts, rule_match_counts_native, partitioned_match_counts, never_firing_rules, match_matrix, corpus_sizes, overlap_counts, fp_potential,
+        unique_coverage, exact_unique, pair_overlap, pair_classification, pair_totals, wilson_ci, clusters, co_firing, co_firing_top, labeled_metrics, labeled_summary,
+        coverage_drift, report_totals, matrix_rollup, diversity_ratio, first_seen_lines, event_rules, hits_by_window, complexity, rule_quality, quality_summary,
+        synthetic_scan, p2_found, p2_loaded, p6_found, p6_table,
+    )
+}
