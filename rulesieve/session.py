@@ -51,3 +51,15 @@ def broadcast_up_to(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
 def trimmed(column):
     """Strip all leading and trailing Unicode white space, tabs and line ends included."""
     return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
+
+
+def hash_sample(df: DataFrame, columns: list[str], rows: int) -> list[tuple]:
+    """At most ``rows`` rows chosen by hash, the same under any partitioning; for fitting on a bounded sample.
+
+    A first cut by hash, from the table's row count, keeps what the tasks send back near ``rows`` in all.
+    """
+    told = df.select(*columns)
+    share = 3 * rows / max(1, told.count())
+    if share < 1:
+        told = told.where(F.pmod(F.xxhash64(F.lit(1), *columns), F.lit(1_000_003)) < int(share * 1_000_003))
+    return [tuple(r) for r in told.orderBy(F.xxhash64(*columns), *columns).limit(rows).collect()]
