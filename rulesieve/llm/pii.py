@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulesieve.llm.crf import SkipChain
+from rulesieve.session import hash_sample
 
 #: Rows the field is fitted on, at most.
 SAMPLE_ROWS = 6000
@@ -73,8 +74,8 @@ PLAIN = re.compile(r"(?P<word>[^\W\d_]+(?:['’][^\W\d_]{2,}|-[^\W\d_]+)*)|(?P<n
 AROUND = 48
 _URL_BEFORE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/?#\"'<>]*\Z")
 _REPO_AFTER = re.compile(r":[\w.~-]+/")
-#: Candidates whose shape says so much that a weak yes of the field is enough.
-SURE = ("email", "phone", "address")
+#: Share of belief that makes a candidate a find without being the largest: its shape already says much.
+ENOUGH = {"email": 0.1, "phone": 0.1, "address": 0.1, "id_number": 0.25}
 GIVEN_SET = frozenset(GIVEN)
 
 
@@ -254,9 +255,11 @@ def document(text: str | None, label: str | None) -> list[tuple[str, int, int, s
 
 
 def seen(words: list[str]) -> list[str]:
-    """The words as the field sees them: a full stop or comma carries what stands on its sides."""
+    """The words as the field sees them: a full stop, comma or middle initial carries what stands on its sides."""
     out = list(words)
     for i, w in enumerate(words):
+        if i and len(w) == 1 and w.isupper() and words[i - 1].lower() in GIVEN_SET and words[i + 1 : i + 2] == ["."]:
+            out[i] = ".middle"
         if w in (".", ",") and i:
             before, after = words[i - 1], words[i + 1] if i + 1 < len(words) else ""
             if w == ".":
@@ -312,8 +315,9 @@ def spans(docs: list[list[tuple]], model: SkipChain) -> Iterator[tuple[int, int,
         k = 0
         while k < len(doc):
             label = LABELS[best[k]]
-            kind, start, end, _, field = doc[k]
-            if label == kind or (kind in SURE and marginal[k, LABELS.index(kind)] >= 0.1):
+            kind, start, end, word, field = doc[k]
+            enough = ENOUGH.get(kind, 1.0) if not word[-11:].isdigit() else 0.5  # eleven bare digits have no shape
+            if label == kind or (kind in ENOUGH and marginal[k, LABELS.index(kind)] >= enough):
                 yield i, field, kind, start, end
             elif label == "B":
                 n = k + 1
@@ -326,15 +330,9 @@ def spans(docs: list[list[tuple]], model: SkipChain) -> Iterator[tuple[int, int,
             k += 1
 
 
-def sample(entries: DataFrame, text: str, label: str, rows: int) -> list[tuple[str | None, str | None]]:
-    """The bounded sample the field is fitted on; the same rows whatever the partitioning."""
-    told = entries.where(F.col(text).isNotNull()).select(text, label).orderBy(F.xxhash64(text, label), text, label).limit(rows)
-    return [(r[0], r[1]) for r in told.collect()]
-
-
 def find(entries: DataFrame, key: str, text: str = "text", label: str = "label", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(key, field_name, pii_kind, start_at, end_at) of every occurrence."""
-    rows = sample(entries, text, label, sample_rows)
+    rows = hash_sample(entries.where(F.col(text).isNotNull()), [text, label], sample_rows)
     model = entries.sparkSession.sparkContext.broadcast(fit(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +355,7 @@ def replaced(text: str | None, finds: list[tuple[int, int, str]]) -> str | None:
 
 def redact(entries: DataFrame, text: str = "text", label: str = "label", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The same rows and columns, text and label with a placeholder for every find."""
-    model = entries.sparkSession.sparkContext.broadcast(fit(sample(entries, text, label, sample_rows)))
+    model = entries.sparkSession.sparkContext.broadcast(fit(hash_sample(entries.where(F.col(text).isNotNull()), [text, label], sample_rows)))
     names = entries.columns
     at = [names.index(text), names.index(label)]
 
