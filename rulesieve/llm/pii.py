@@ -60,15 +60,16 @@ _PHONE = (
 )
 _NUMBER = r"(?:\d{3}-\d\d-\d{4}|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|[12] ?\d\d ?(?:0[1-9]|1[0-2]) ?\d\d ?\d{3} ?\d{3} ?\d\d|\d\d \d{3} \d{3} \d{3}|\d{11}|\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z])(?![\w-]|[.:/]\d)"
 NUMBERS = re.compile(rf"(?=[\d+(A-Z])(?<![\w.+/=-])(?:(?P<id_number>{_NUMBER})|(?P<phone>{_PHONE}))|(?<==)(?P<phone2>{_PHONE})")
-#: An address has a house number: before a capital letter, before a French street word, or behind a German or Spanish street.
-HOUSE = re.compile(
-    r"\d[A-Za-z]?(?:[-/]\d+)? [^\W\d_a-zß-ÿ]|\d(?: ?(?:bis|ter|quater))?,? (?i:rue|quai|avenue|place|boulevard|chemin|allée|impasse|cours|square|route)"
-    r"|(?:(?<=weg )|(?<=sse )|(?<=ße )|(?<=lee )|(?<=atz )|(?<=ing )|(?<=amm )|(?<=fer )|(?<=tr\. )|(?<=Weg )|(?<=WEG )|(?<=SSE )|(?<=LEE )|(?<=ATZ ))\d"
-)
+#: An address has a house number: before a capital letter or a French street word, or behind a German or Spanish street.
+HOUSE = re.compile(r"\d(?:[A-Za-z]?(?:[-/]\d+)? [^\W\d_a-zß-ÿ]|(?: ?(?:bis|ter|quater))?,? (?i:rue|quai|avenue|place|boulevard|chemin|allée|impasse|cours|square|route))")
+GERMAN = ("weg ", "sse ", "ße ", "lee ", "atz ", "ring ", "amm ", "ufer ", "tr. ", "Weg ", "WEG ", "SSE ", "LEE ", "ATZ ", "Ring ", "Ufer ")
 SPANISH = ("Calle", "CALLE", "Avenida", "AVENIDA", "Avda", "Plaza", "PLAZA", "Paseo", "PASEO", "Carrer", "Ronda", "Camino", "C/")
 SIGNS = ("@", "＠", "%40", "&#64;", "&#x40;", "&commat;", "\\u0040", "=40", " at ", "at)", "at ", "at]", "at}", "at>")
 ADDRESS = re.compile(rf"(?<!\w)(?:{_EN}|{_FR}|{_ES}|{_DE}|{_DE2})")
-PAIR = re.compile(rf"{_CAP}\.?,? (?:(?:van|von|de|der|den|del|di|da|la|le|el|al|ben|bin|ten|zu) ){{0,2}}(?=[^\W\d_a-zß-ÿ])|(?<![^\W\d_])[^\W\d_a-zß-ÿ]\. ?(?=[^\W\d_a-zß-ÿ])")
+#: Two capitalised words, or a capitalised word behind an initial; the first character leads, which the engine looks for quickly.
+PAIR = re.compile(
+    r"[^\W\d_a-zß-ÿ](?:[^\W\d_]*(?:['’-][^\W\d_]+)*\.?,? (?:(?:van|von|de|der|den|del|di|da|la|le|el|al|ben|bin|ten|zu) ){0,2}(?=[^\W\d_a-zß-ÿ])|(?<![^\W\d_].)\. ?(?=[^\W\d_a-zß-ÿ]))"
+)
 PLAIN = re.compile(r"(?P<word>[^\W\d_]+(?:['’][^\W\d_]{2,}|-[^\W\d_]+)*)|(?P<number>\d+)|(?P<other>\S)")
 #: Characters around a candidate that the field sees.
 AROUND = 48
@@ -98,7 +99,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of single-token candidates, without overlaps; mail first, then addresses, then numbers."""
     low = text.lower()
     found = [(a, b, "email") for a, b in mails(text)] if any(x in low for x in SIGNS) else []
-    if HOUSE.search(text) or any(x in text for x in SPANISH):
+    if any(x in text for x in SPANISH) or any(x in text for x in GERMAN) or HOUSE.search(text):
         found += [(m.start(), m.end(), "address") for m in ADDRESS.finditer(text)]
     found += [(m.start(), m.end(), "phone" if m.lastgroup == "phone2" else m.lastgroup) for m in NUMBERS.finditer(text)]
     if len(found) > 1:
