@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rulesieve.operators.match import match
 from rulesieve.operators.matrix import distinct_hits
 
 DRIFT = 0.05
@@ -20,6 +21,18 @@ def latest(entries: DataFrame, version: str = "ingested_at") -> DataFrame:
     return entries.groupBy("entry_id").agg(F.max_by(F.struct(*rest), version).alias("e")).select("entry_id", *[F.col(f"e.{c}").alias(c) for c in rest])
 
 
+def latest_hits(entries: DataFrame, rules: DataFrame, version: str = "ingested_at", **how) -> DataFrame:
+    """(entry_id, rule_id) of the rules that fire on the last delivery of each entry.
+
+    Deliveries are matched where they stand and sorted out by their keys afterwards, so ids and hits
+    are shuffled and texts are not.
+    """
+    told = entries.withColumn("delivery", F.struct("entry_id", version))
+    hits = match(told, rules, entry_key="delivery", **how).select("delivery.*", "rule_id")
+    last = entries.groupBy("entry_id").agg(F.max(version).alias(version))
+    return hits.join(last, (hits["entry_id"] == last["entry_id"]) & hits[version].eqNullSafe(last[version]), "left_semi").select("entry_id", "rule_id").distinct()
+
+
 def match_counts(hits: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule_id, name, matched_count) of every rule."""
     counts = distinct_hits(hits).groupBy("rule_id").agg(F.count("*").alias("matched_count"))

@@ -40,8 +40,9 @@ def _rules(spark: SparkSession, d: str) -> DataFrame:
     return rules_of_table(table(spark, d, "base_rules"))
 
 
-def _entries(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.latest(table(spark, d, "entries"))
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    """(entry_id, label, source) of the last delivery; the texts stay where they are."""
+    return evaluate.latest(table(spark, d, "entries").drop("text"))
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
@@ -55,19 +56,19 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
 def rule_match_counts(spark: SparkSession, d: str) -> DataFrame:
     """Every base rule against every entry, Python's regular expressions."""
     rules = _rules(spark, d)
-    return evaluate.match_counts(match(_entries(spark, d), rules), rules)
+    return evaluate.match_counts(evaluate.latest_hits(table(spark, d, "entries"), rules), rules)
 
 
 def rule_match_counts_native(spark: SparkSession, d: str) -> DataFrame:
     """The same on the JVM's engine with rewritten patterns."""
     rules = _rules(spark, d)
-    return evaluate.match_counts(match(_entries(spark, d), rules, engine="auto"), rules)
+    return evaluate.match_counts(evaluate.latest_hits(table(spark, d, "entries"), rules, engine="auto"), rules)
 
 
 def partitioned_match_counts(spark: SparkSession, d: str) -> DataFrame:
     """Rules only meet entries whose label equals the rule's detector."""
     rules = _rules(spark, d)
-    return evaluate.match_counts(match(_entries(spark, d), rules, partition=("label", "detector")), rules)
+    return evaluate.match_counts(evaluate.latest_hits(table(spark, d, "entries"), rules, partition=("label", "detector")), rules)
 
 
 def never_firing_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +148,7 @@ def co_firing_top(spark: SparkSession, d: str) -> DataFrame:
 
 
 def labeled_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.labelled_metrics(_hits(spark, d), _entries(spark, d), _rules(spark, d))
+    return evaluate.labelled_metrics(_hits(spark, d), _labels(spark, d), _rules(spark, d))
 
 
 def labeled_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +157,7 @@ def labeled_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def coverage_drift(spark: SparkSession, d: str) -> DataFrame:
     """Entries of the busiest source against all others."""
-    sides = _entries(spark, d).select("entry_id", F.when(F.col("source") == "monolith-audit", "a").otherwise("b").alias("side"))
+    sides = _labels(spark, d).select("entry_id", F.when(F.col("source") == "monolith-audit", "a").otherwise("b").alias("side"))
     return evaluate.drift(_hits(spark, d), sides, _rules(spark, d), threshold=0.005)
 
 
@@ -192,8 +193,9 @@ def event_rules(spark: SparkSession, d: str) -> DataFrame:
 
 def hits_by_window(spark: SparkSession, d: str) -> DataFrame:
     """Hits per rule and day, by the operator that also runs on streams."""
-    entries = table(spark, d, "entries").where("seen_at IS NOT NULL").dropDuplicates(["entry_id"])
-    return windowed_counts(stream_hits(entries, _rules(spark, d)), window="1 day")
+    entries = table(spark, d, "entries").where("seen_at IS NOT NULL").withColumn("at", F.struct("entry_id", "seen_at"))
+    hits = stream_hits(entries, _rules(spark, d), time="at").distinct().select("at.seen_at", "rule_id")
+    return windowed_counts(hits, window="1 day")
 
 
 def complexity(spark: SparkSession, d: str) -> DataFrame:
