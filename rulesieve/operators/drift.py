@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulesieve.session import cut
+from rulesieve.session import broadcast_up_to, cut
 
 #: Names under which a rule's own name is known in the feeds (fixed values); the identity of a rule across files.
 NAME_KEYS = ("name", "Name", "rule_name", "ruleName", "rule_id", "id")
@@ -44,15 +44,15 @@ ALIASES: dict[str, tuple[str, tuple[str, ...]]] = {
 
 
 def delivered_once(records: DataFrame) -> DataFrame:
-    """(feed, file_no, record, body variant): the latest body of each record."""
+    """(feed, file_no, record, body): the latest body of each record."""
     number = F.coalesce(F.col("record_no").cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce("body", F.lit("")))))
     keyed = records.where("feed IS NOT NULL AND file_no IS NOT NULL").select("feed", "file_no", number.alias("record"), "body", "loaded_at")
-    last = keyed.groupBy("feed", "file_no", "record").agg(F.max_by("body", F.struct("loaded_at", "body")).alias("body"))
-    return last.withColumn("v", F.try_parse_json("body")).drop("body")
+    return keyed.groupBy("feed", "file_no", "record").agg(F.max_by("body", F.struct("loaded_at", "body")).alias("body"))
 
 
 def exploded(once: DataFrame) -> DataFrame:
     """(feed, file_no, record, field, type, value) of every non-null top-level value."""
+    once = once.withColumn("v", F.try_parse_json("body")).drop("body")
     fields = once.lateralJoin(once.sparkSession.tvf.variant_explode(F.col("v").outer()).select("key", "value"))
     of = F.schema_of_variant("value")
     kind = (
@@ -79,11 +79,9 @@ def lifespans(fields: DataFrame, files: DataFrame) -> DataFrame:
 
 def changes(records: DataFrame, name_keys: tuple[str, ...] = NAME_KEYS) -> DataFrame:
     """(feed, file_no, field_name, drift_kind, detail)."""
-    once = delivered_once(records)
+    once = cut(delivered_once(records))
     files = cut(once.select("feed", "file_no").distinct())
-    values = exploded(once)
-    values = cut(values)
-    spans = cut(lifespans(catalogue(values), files))
+    spans = cut(lifespans(catalogue(exploded(once)), files))
     starts = spans.where("begin > 1").select("feed", "field", "type", F.col("begin").alias("at"))
     endings = spans.where("finish < files").select("feed", "field", F.col("type").alias("old_type"), (F.col("finish") + 1).alias("at"))
     met = starts.join(endings, ["feed", "field", "at"], "full")
@@ -92,7 +90,11 @@ def changes(records: DataFrame, name_keys: tuple[str, ...] = NAME_KEYS) -> DataF
     goes = met.where("type IS NULL").select("feed", "at", F.col("field").alias("old"), F.col("old_type").alias("kind"))
 
     placed = files.withColumn("at", F.row_number().over(Window.partitionBy("feed").orderBy("file_no")))
-    here = values.join(placed, ["feed", "file_no"]).drop("file_no")
+    # of the values only those of names and of fields that start or end are kept; the catalogue of these is small
+    wanted = cut(comes.select("feed", "at", F.col("new").alias("field")).union(goes.select("feed", F.col("at") - 1, "old")).distinct())
+    here = exploded(once).join(placed, ["feed", "file_no"]).drop("file_no")
+    changed = here.join(broadcast_up_to(wanted, wanted.count()), ["feed", "at", "field"], "left_semi")
+    here = cut(changed.select("feed", "at", "record", "field", "value").union(here.where(F.col("field").isin(*name_keys)).select("feed", "at", "record", "field", "value")).distinct())
     who = here.where(F.col("field").isin(*name_keys)).groupBy("feed", "at", "record").agg(F.min("value").alias("rule"))
     told = lambda fields, shift: (
         here.withColumn("at", F.col("at") + shift)
@@ -123,7 +125,7 @@ def consistent(records: DataFrame, aliases: dict[str, tuple[str, tuple[str, ...]
     A wrapped value ({"value": …}, {"en": …} or a list for a scalar) is unwrapped; what cannot be
     cast is null.
     """
-    once = delivered_once(records)
+    once = delivered_once(records).withColumn("v", F.try_parse_json("body"))
 
     def read(key: str, kind: str):
         path = f'$["{key}"]'
