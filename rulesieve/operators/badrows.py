@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rulesieve.session import spread
+
 SEVERITIES = ("critical", "high", "medium", "low")
 INTEGER = re.compile(r"[+-]?[0-9]+")
 ISO_DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
@@ -158,7 +160,7 @@ def load_rows(raw: DataFrame, key: str = "row_id", layout: str = "layout", line_
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *columns], ["k", *names])
 
     kind = raw.schema[key].dataType.simpleString()
-    return raw.select(key, layout, line_no, text).mapInArrow(run, f"k {kind}, {OUT}").withColumnRenamed("k", key)
+    return spread(raw.select(key, layout, line_no, text)).mapInArrow(run, f"k {kind}, {OUT}").withColumnRenamed("k", key)
 
 
 def valid(loaded: DataFrame) -> DataFrame:

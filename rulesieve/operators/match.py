@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulesieve.functions.patterns import compiled, required_literal, to_jvm
+from rulesieve.session import spread
 
 RULES_PER_BLOCK = 20_000
 SHORTEST_LITERAL = 3
@@ -79,7 +80,8 @@ def match(entries: DataFrame, rules: DataFrame, entry_key: str = "entry_id", tex
     columns = [rule_key, pattern] + ([partition[1]] if partition else [])
     told = [tuple(r) for r in rules.where(F.col(pattern).isNotNull()).select(*columns).distinct().orderBy(rule_key).toLocalIterator()]
     told = [(i, p, *((k[0] or "_default",) if k else ())) for i, p, *k in told]
-    strings = entries.where(F.col(text).isNotNull())
+    used = [entry_key, text] + ([partition[0]] if partition else [])
+    strings = spread(entries.where(F.col(text).isNotNull()).select(*dict.fromkeys(used)))
     native = [] if engine == "python" else [(r, j) for r in told if (j := to_jvm(r[1]))]
     slow = told if engine == "python" else [r for r in told if to_jvm(r[1]) is None]
     if engine == "native" and slow:

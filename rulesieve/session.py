@@ -63,3 +63,13 @@ def hash_sample(df: DataFrame, columns: list[str], rows: int) -> list[tuple]:
     if share < 1:
         told = told.where(F.pmod(F.xxhash64(F.lit(1), *columns), F.lit(1_000_003)) < int(share * 1_000_003))
     return [tuple(r) for r in told.orderBy(F.xxhash64(*columns), *columns).limit(rows).collect()]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The frame over all cores where its input has fewer splits than there are cores.
+
+    For maps that are costly a row on inputs of a few small files; an input with enough splits,
+    as any large one has, is left as it is and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
