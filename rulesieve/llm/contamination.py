@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rulesieve.session import spread
+
 WORD = re.compile(r"[^\W_]+")
 WINDOWS_PER_BLOCK = 500_000
 CHARS_PER_CHUNK = 4_000_000
@@ -159,7 +161,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: st
                         lo, chars = hi, 0
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array([r for r, _ in rows], pa.int64())), pa.array([i for _, i in rows], pa.int64())], ["d", "i"])
 
-        return docs.select(doc_id, text).where(F.col(text).isNotNull()).mapInArrow(run, f"d {kind[doc_id]}, i bigint")
+        return spread(docs.select(doc_id, text).where(F.col(text).isNotNull())).mapInArrow(run, f"d {kind[doc_id]}, i bigint")
 
     sc = docs.sparkSession.sparkContext
     out = None

@@ -120,53 +120,15 @@ class SkipChain:
         groups = [by_length[i : i + batch] for i in range(0, len(by_length), batch)]
         kept = [np.zeros_like(x, np.float64) for x in (self.weights, self.moves, self.begin)]
         late = rounds // 2
+        prepared = [self._prepare([coded[i] for i in g], [golds[i] for i in g], ids, begin_at) for g in groups]
         for turn in range(rounds):
             for g in rng.permutation(len(groups)):
-                some = groups[g]
-                grid, size = self._padded([coded[i] for i in some])
-                used, local = np.unique(grid, return_inverse=True)
-                local = local.reshape(grid.shape)
-                # scores of the tokens of this batch only
-                spans = [np.arange(begin_at[u], begin_at[u] + len(self._ids[u])) for u in used]
-                flat = np.concatenate(spans)
-                owner = np.repeat(np.arange(len(used)), [len(s) for s in spans])
-                firsts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-                score = np.stack([np.add.reduceat(w[ids[flat]], firsts, axis=0) for w in self.weights])
-                wide = np.full((grid.shape[0], grid.shape[1] + 4), -1)
-                wide[:, 2:-2] = local
-                for i, k in enumerate(size):
-                    wide[i, 2 + k :] = -1
-                edge = self.weights[:, self.size]
-                emit = np.zeros((*grid.shape, n), np.float32)
-                for k, off in enumerate(OFFSETS):
-                    at = wide[:, 2 + off : 2 + off + grid.shape[1]]
-                    emit += np.where((at >= 0)[..., None], score[k][np.maximum(at, 0)], edge[k])
-                marginal, joint = self._chain(emit, size, True)
-                inside = np.arange(grid.shape[1]) < size[:, None]
-                gap = marginal * inside[..., None]
-                moved = -joint
-                first = -gap[:, 0].sum(0)
-                for i, s in enumerate(some):
-                    gold = np.array(golds[s])
-                    gap[i, np.arange(len(gold)), gold] -= 1
-                    np.add.at(moved, (gold[:-1], gold[1:]), 1)
-                    first[gold[0]] += 1
-                for k, off in enumerate(OFFSETS):
-                    at = wide[:, 2 + off : 2 + off + grid.shape[1]]
-                    ok = (at >= 0) & inside
-                    token = np.zeros((len(used), n), np.float32)
-                    np.add.at(token, at[ok], -gap[ok])
-                    grad = token[owner] / len(some)
-                    place = ids[flat]
-                    whole, where = np.unique(place, return_inverse=True)
-                    summed = np.zeros((len(whole), n), np.float32)
-                    np.add.at(summed, where, grad)
-                    out = (at < 0) & inside
-                    if out.any():
-                        whole, summed = np.append(whole, self.size), np.vstack([summed, -gap[out].sum(0)[None] / len(some)])
-                    squares[0][k][whole] += summed**2
-                    self.weights[k][whole] += rate * summed / np.sqrt(squares[0][k][whole])
-                for what, grad, sq in ((self.moves, moved / len(some), squares[1]), (self.begin, first / len(some), squares[2])):
+                p = prepared[g]
+                grads = self._gradients(p, n)
+                for k in range(len(OFFSETS)):
+                    squares[0][k][p["place"]] += grads[k] ** 2
+                    self.weights[k][p["place"]] += rate * grads[k] / np.sqrt(squares[0][k][p["place"]])
+                for what, grad, sq in ((self.moves, grads[-2], squares[1]), (self.begin, grads[-1], squares[2])):
                     sq += grad**2
                     what += (rate * grad / np.sqrt(sq)).astype(np.float32)
             if turn >= late:  # the mean of the later rounds stays
@@ -178,6 +140,40 @@ class SkipChain:
             self._fit_skip(sequences, golds, skips)
         return self
 
+    def _prepare(self, coded: list[list[int]], golds: list[list[int]], ids: np.ndarray, begin_at: np.ndarray) -> dict:
+        """What doesn't change from round to round: places of tokens and features of one batch."""
+        grid, size = self._padded(coded)
+        inside = np.arange(grid.shape[1]) < size[:, None]
+        used, local = np.unique(grid, return_inverse=True)
+        wide = np.full((grid.shape[0], grid.shape[1] + 4), len(used))  # len(used): beyond the edge
+        wide[:, 2:-2] = np.where(inside, local.reshape(grid.shape), len(used))
+        at = np.stack([wide[:, 2 + off : 2 + off + grid.shape[1]] for off in OFFSETS])
+        spans = [np.arange(begin_at[u], begin_at[u] + len(self._ids[u])) for u in used]
+        owner = np.repeat(np.arange(len(used) + 1), [*map(len, spans), 1])
+        flat = np.concatenate([ids[np.concatenate(spans)], [self.size]])
+        place, where = np.unique(flat, return_inverse=True)
+        gold = np.zeros((*grid.shape, len(self.labels)), np.float32)
+        moved, first = np.zeros_like(self.moves, np.float64), np.zeros_like(self.begin)
+        for i, y in enumerate(golds):
+            gold[i, np.arange(len(y)), y] = 1
+            np.add.at(moved, (y[:-1], y[1:]), 1)
+            first[y[0]] += 1
+        firsts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        return {"size": size, "inside": inside, "at": at, "owner": owner, "flat": flat, "firsts": firsts, "place": place, "where": where, "gold": gold, "moved": moved, "first": first}
+
+    def _gradients(self, p: dict, n: int) -> list[np.ndarray]:
+        """Of the mean log-likelihood: by feature place at each offset, of the transitions, of the begin."""
+        score = [np.add.reduceat(w[p["flat"]], p["firsts"], axis=0) for w in self.weights]
+        emit = sum(s[a] for s, a in zip(score, p["at"], strict=True))
+        marginal, joint = self._chain(emit, p["size"], True)
+        gap = (p["gold"] - marginal)[p["inside"]] / len(p["size"])
+
+        def gathered(where: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+            return np.stack([np.bincount(where, values[:, j], rows) for j in range(n)], 1)
+
+        out = [gathered(p["where"], gathered(a[p["inside"]], gap, len(p["firsts"]))[p["owner"]], len(p["place"])) for a in p["at"]]
+        return [*out, (p["moved"] - joint) / len(p["size"]), p["first"] / len(p["size"]) - marginal[:, 0].mean(0)]
+
     def _fit_skip(self, sequences, golds, skips) -> None:
         n = len(self.labels)
         joint = np.full((n, n), 0.5)

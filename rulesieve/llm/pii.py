@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulesieve.llm.crf import SkipChain
-from rulesieve.session import hash_sample
+from rulesieve.session import hash_sample, spread
 
 #: Rows the field is fitted on, at most.
 SAMPLE_ROWS = 6000
@@ -345,7 +345,7 @@ def find(entries: DataFrame, key: str, text: str = "text", label: str = "label",
             yield pa.RecordBatch.from_arrays(at + [pa.array([f[k] for f in found], pa.int64()) for k in (3, 4)], ["k", "field_name", "pii_kind", "start_at", "end_at"])
 
     kind = entries.schema[key].dataType.simpleString()
-    return entries.select(key, text, label).mapInArrow(run, f"k {kind}, field_name string, pii_kind string, start_at bigint, end_at bigint").withColumnRenamed("k", key)
+    return spread(entries.select(key, text, label)).mapInArrow(run, f"k {kind}, field_name string, pii_kind string, start_at bigint, end_at bigint").withColumnRenamed("k", key)
 
 
 def replaced(text: str | None, finds: list[tuple[int, int, str]]) -> str | None:
@@ -371,4 +371,4 @@ def redact(entries: DataFrame, text: str = "text", label: str = "label", sample_
                 columns[i] = pa.array([replaced(t, finds.get((n, field), [])) for n, t in enumerate(told[field])], columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return entries.mapInArrow(run, entries.schema)
+    return spread(entries).mapInArrow(run, entries.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulesieve.session import cut
+from rulesieve.session import cut, spread
 
 PREFIX = 100
 CHARS_PER_CHUNK = 1_000_000
@@ -151,7 +151,7 @@ def shared_chars(docs: DataFrame, doc_id: str, text: str, span: int = 300, prefi
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(keys[lo:hi][number]), *(pa.array(x.astype(np.int32)) for x in (pos, first, last))], ["h", "key", "pos", "first", "last"])
 
     schema = "h bigint, key bigint, pos int, first int, last int"
-    found = whole.select("key", "t").mapInArrow(find, schema).repartition("h").dropDuplicates(["h", "key", "pos"])
+    found = spread(whole.select("key", "t")).mapInArrow(find, schema).repartition("h").dropDuplicates(["h", "key", "pos"])
     groups = found.groupBy("h").agg(F.min("key").alias("k1"), F.max("key").alias("k2"), F.count("*").alias("m")).where("k1 <> k2").select("h", "m")
     shared = found.join(groups, "h")
     mine = shared.groupBy("key").agg(F.collect_list(F.struct("h", "pos", "first", "last", (F.col("m") > hot).alias("hot"))).alias("a"))
@@ -199,14 +199,14 @@ def shared_chars(docs: DataFrame, doc_id: str, text: str, span: int = 300, prefi
 
     cold = near.where("NOT hot").repartition("h").sortWithinPartitions("h").mapInArrow(subtree, "key bigint, lo bigint, hi bigint")
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, key, first, last, t in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 6)), strict=True):
                 starts = np.arange(last - first + 1)
                 node = span_hashes(sums([t]), starts, span) ^ _mix(np.array([h], np.int64).view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(np.full(len(starts), key)), pa.array(starts + first)], ["node", "key", "lo"])
 
-    nodes = near.where("hot").mapInArrow(spread, "node bigint, key bigint, lo bigint")
+    nodes = near.where("hot").mapInArrow(windows, "node bigint, key bigint, lo bigint")
     deep = nodes.groupBy("node").agg(F.min("key").alias("k1"), F.max("key").alias("k2")).where("k1 <> k2").select("node")
     hots = nodes.join(deep, "node", "left_semi").select("key", "lo", (F.col("lo") + span).alias("hi"))
     covered = merged_length(cold.union(hots), "key")

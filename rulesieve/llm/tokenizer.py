@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from rulesieve.session import spread
+
 #: Split of the published byte-level vocabularies into pretokens (fixed value).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same split for texts of ASCII only, spelled without properties; white space is listed because Python's \\s has more.
@@ -243,7 +245,7 @@ def encode_corpus(df: DataFrame, id_column: str, text_column: str, vocabulary: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "ids"])
 
     kind = df.schema[id_column].dataType.simpleString()
-    out = df.select(id_column, text_column).mapInArrow(run, f"id {kind}, ids array<bigint>")
+    out = spread(df.select(id_column, text_column)).mapInArrow(run, f"id {kind}, ids array<bigint>")
     return out.withColumnRenamed("id", id_column)
 
 
