@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulesieve.session import cut
-
 
 def distinct_hits(hits: DataFrame, entry: str = "entry_id", rule: str = "rule_id") -> DataFrame:
     return hits.select(F.col(entry).alias("entry_id"), F.col(rule).alias("rule_id")).where("entry_id IS NOT NULL AND rule_id IS NOT NULL").distinct()
@@ -75,8 +73,3 @@ def exact_unique(hits: DataFrame, rules: DataFrame) -> DataFrame:
     alone = distinct_hits(hits).groupBy("entry_id").agg(F.count("*").alias("k"), F.first("rule_id").alias("rule_id")).where("k = 1")
     counts = alone.groupBy("rule_id").agg(F.count("*").alias("only_here"))
     return rules.select("rule_id").distinct().join(counts, "rule_id", "left").na.fill(0, ["only_here"])
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The matrix is read by several consumers: keep it once."""
-    return cut(df)

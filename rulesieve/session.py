@@ -65,11 +65,18 @@ def hash_sample(df: DataFrame, columns: list[str], rows: int) -> list[tuple]:
     return [tuple(r) for r in told.orderBy(F.xxhash64(*columns), *columns).limit(rows).collect()]
 
 
+#: Bytes a core below which an input may come in fewer splits than there are cores.
+SMALL_PER_CORE = 8 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """The frame over all cores where its input has fewer splits than there are cores.
+    """The frame over all cores where its input is small, so that it may come in very few splits.
 
-    For maps that are costly a row on inputs of a few small files; an input with enough splits,
-    as any large one has, is left as it is and not shuffled.
+    For maps that are costly a row. By the planner's estimate, without running anything: an input of
+    more than ``SMALL_PER_CORE`` bytes a core, or of unknown size, is left as it is and not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+    if df.isStreaming:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_PER_CORE else df

@@ -41,3 +41,30 @@ def test_partition_keys(frames, engine):
 def test_empty_sides(frames):
     e, r = frames
     assert match(e.limit(0), r).isEmpty() and match(e, r.limit(0)).isEmpty()
+
+
+def test_spread_only_small_inputs(spark, tmp_path, monkeypatch):
+    from rulesieve import session
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert session.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "SMALL_PER_CORE", 0)
+    assert session.spread(df) is df
+
+
+def test_hash_sample_is_bounded_and_stable(spark):
+    from rulesieve.session import hash_sample
+
+    df = spark.range(5000).selectExpr("id", "cast(id AS string) AS t", "'x' AS other")
+    a = hash_sample(df.repartition(3), ["id", "t"], 200)
+    assert len(a) == 200 and a == hash_sample(df.repartition(7), ["id", "t"], 200)
+    assert len(hash_sample(df.limit(50), ["id"], 200)) == 50 and hash_sample(df.limit(0), ["id"], 200) == []
+
+
+def test_latest_delivery_decides(spark):
+    from rulesieve.operators.evaluate import latest_hits
+
+    e = spark.createDataFrame([(1, "foo1", 1), (1, "no", 2), (2, "foo2", 5), (2, "foo2", 5), (3, "foo3", None)], "entry_id bigint, text string, ingested_at int")
+    r = spark.createDataFrame([(1, r"foo\d")], "rule_id int, pattern string")
+    assert sorted(tuple(x) for x in latest_hits(e, r).collect()) == [(2, 1), (3, 1)]
