@@ -66,7 +66,7 @@ def hash_sample(df: DataFrame, columns: list[str], rows: int) -> list[tuple]:
 
 
 #: Bytes a core below which an input may come in fewer splits than there are cores.
-SMALL_PER_CORE = 8 << 20
+SMALL_PER_CORE = 2 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -78,5 +78,7 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming:
         return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # of the files as they are: the estimate of a projection knows nothing of long texts
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df.repartition(cores) if size < cores * SMALL_PER_CORE else df
