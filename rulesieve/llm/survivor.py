@@ -42,14 +42,14 @@ def claims(groups: DataFrame, records: DataFrame, group: str, members: str, key:
     return told.select("grp", "t.field", "t.value", "source", "rank").where("value IS NOT NULL").groupBy("grp", "field", "value", "source").agg(F.min("rank").alias("rank"), F.count("*").alias("votes"))
 
 
-def discover(told: DataFrame, rounds: int = 6, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
-    """(winners, reliability) after the alternation settles or after ``rounds`` rounds.
+def discover(told: DataFrame, most: int = 100, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+    """(winners, reliability) after the alternation settles; one that doesn't in ``most`` rounds is an error.
 
     winners: (grp, field, value, support); reliability: (source, weight).
     """
     told = cut(told)
     weights = None
-    for _ in range(rounds):
+    for _ in range(most):
         weighted = told.withColumn("weight", F.lit(0.5)) if weights is None else told.join(weights, F.col("source").eqNullSafe(F.col("w_source"))).drop("w_source")
         support = weighted.groupBy("grp", "field", "value").agg(F.min("rank").alias("rank"), F.sum("weight").alias("support"))
         # ties of precedence and support go to the smaller value
@@ -65,12 +65,14 @@ def discover(told: DataFrame, rounds: int = 6, tolerance: float = 1e-3) -> tuple
             if moved is None or moved < tolerance:
                 break
         weights = fresh
+    else:
+        raise RuntimeError(f"the reliabilities did not settle in {most} rounds")
     return winners, weights.withColumnRenamed("w_source", "source")
 
 
-def survivors(groups: DataFrame, records: DataFrame, group: str, members: str, key: str, fields: dict[str, Column], precedence: list[Column], source: Column, name: str, rounds: int = 6) -> DataFrame:
+def survivors(groups: DataFrame, records: DataFrame, group: str, members: str, key: str, fields: dict[str, Column], precedence: list[Column], source: Column, name: str, most: int = 100) -> DataFrame:
     """One row per group: group, ``name`` (null without records) and every field ('' where missing)."""
-    winners, _ = discover(claims(groups, records, group, members, key, fields, precedence, source), rounds)
+    winners, _ = discover(claims(groups, records, group, members, key, fields, precedence, source), most)
     wide = winners.groupBy("grp").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields])
     ids = groups.select(F.col(group).alias("grp")).distinct()
     out = ids.join(wide, "grp", "left")

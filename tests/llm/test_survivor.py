@@ -1,7 +1,10 @@
 """Survivors field by field."""
 
+import random
+from collections import Counter
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from rulesieve.llm import survivor
@@ -53,3 +56,35 @@ def test_sources_earn_their_weight(spark):
     assert {x["value"] for x in winners.collect()} == {"true"}
     w = {x["source"]: x["weight"] for x in weights.collect()}
     assert w["one"] > 0.8 > 0.2 > w["liar"]
+
+
+def scattered():
+    """(grp, value, source): many sources of unlike honesty, whose reliabilities take more than six rounds to settle."""
+    rng = random.Random(381)
+    return sorted({(g, rng.choice("abc"), f"s{min(rng.randrange(40), rng.randrange(40))}") for g in range(120) for _ in range(4)})
+
+
+def one_round(told, weights):
+    support = Counter()
+    for g, v, s in told:
+        support[g, v] += weights[s]
+    best = {}
+    for (g, v), x in support.items():
+        best[g] = min(best.get(g, (0, "")), (-round(x, 9), v))
+    hits, all_of = Counter(s for g, v, s in told if best[g][1] == v), Counter(s for _, _, s in told)
+    return {g: v for g, (_, v) in best.items()}, {s: (hits[s] + 1) / (n + 2) for s, n in all_of.items()}
+
+
+def test_winners_are_settled(spark):
+    rows = scattered()
+    told = spark.createDataFrame([(g, "f", v, s, 0) for g, v, s in rows], "grp int, field string, value string, source string, rank int")
+    winners, weights = survivor.discover(told)
+    got, w = {r["grp"]: r["value"] for r in winners.collect()}, {r["source"]: r["weight"] for r in weights.collect()}
+    again, moved = one_round(rows, w)
+    assert again == got and max(abs(moved[s] - w[s]) for s in w) < 1e-3
+    early = dict.fromkeys(w, 0.5)
+    for _ in range(6):
+        sixth, early = one_round(rows, early)
+    assert sixth != got
+    with pytest.raises(RuntimeError):
+        survivor.discover(told, most=6)
