@@ -1,10 +1,12 @@
 """Evaluation texts leaking into training text.
 
-Every window of as many words as the item's is embedded by the CGK random walk, which turns an
-edit distance over words into a Hamming distance; repeated bit sampling of the embedding gives LSH
-keys, as many repeats as the target recall needs for the allowed edits (one for none, where equal
-windows have equal embeddings); every candidate is verified exactly. A window with more words
-outside the items' vocabulary than edits are allowed can match nothing and is not embedded.
+Every window of as many words as the item's, and of as many fewer or more as edits are allowed, is
+embedded by the CGK random walk, which turns an edit distance over words into a Hamming distance;
+repeated bit sampling of the embedding gives LSH keys, as many repeats as the target recall needs
+for the allowed edits (one for none, where equal windows have equal embeddings); every candidate is
+verified exactly. A window with more words outside the items' vocabulary than edits are allowed can
+match nothing and is not embedded; nor is, with edits, one that holds no run of the items' as long
+as k edits must leave whole in n words, (n - k) / (k + 1) rounded up.
 
 The items are a stated query set: they are held by every task in blocks of a bounded number of
 windows, and every document meets every block. Documents are read once per block, in place; only
@@ -31,6 +33,7 @@ from rulesieve.session import spread
 WORD = re.compile(r"[^\W_]+")
 WINDOWS_PER_BLOCK = 500_000
 CHARS_PER_CHUNK = 4_000_000
+CANDIDATES_AT_ONCE = 200_000
 
 
 def words(text: str) -> list[str]:
@@ -71,6 +74,15 @@ def sample(shown: np.ndarray, turn: int, coordinates: int) -> np.ndarray:
     return key
 
 
+def runs(ids: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` words from each place on, along the last axis."""
+    most = ids.shape[-1] - length + 1
+    key = np.zeros((*ids.shape[:-1], most), np.uint64)
+    for j in range(length):
+        key = _mix(key * np.uint64(0x100000001B3) + ids[..., j : j + most].astype(np.int64).astype(np.uint64))
+    return key
+
+
 def repeats(n: int, edits: int, coordinates: int, recall: float) -> int:
     """Repeats needed: an embedding of 3n symbols differs in at most about 4 k^2 of them with constant probability for k edits."""
     if not edits:
@@ -88,6 +100,21 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
     return row[-1]
 
 
+def within(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
+    """Whether the edit distance of each row of ``a`` from that of ``b`` is at most ``edits``: the band of the usual table, for all rows at once."""
+    far = np.full(len(a), edits + 1, np.int16)
+    row = {j: np.full(len(a), j, np.int16) for j in range(min(edits, b.shape[1]) + 1)}
+    for i in range(1, a.shape[1] + 1):
+        now = {}
+        for j in range(max(0, i - edits), min(b.shape[1], i + edits) + 1):
+            if j:
+                now[j] = np.minimum(np.minimum(row.get(j, far), now.get(j - 1, far)) + 1, row.get(j - 1, far) + (a[:, i - 1] != b[:, j - 1]))
+            else:
+                now[j] = np.full(len(a), i, np.int16)
+        row = now
+    return row.get(b.shape[1], far) <= edits
+
+
 class ItemIndex:
     """Windows of the items of one block with their LSH keys."""
 
@@ -101,13 +128,19 @@ class ItemIndex:
             for i in range(len(ids) - n + 1):
                 rows[tuple(ids[i : i + n]), item] = None
         self.windows = np.array([w for w, _ in rows], np.int32).reshape(-1, n)
+        self.run = max(1, ceil((n - edits) / (edits + 1)))
+        self.runs = np.unique(runs(self.windows, self.run)) if 0 < edits < n else None
         self.owner = np.array([i for _, i in rows], np.int64)
         self.keys = []
         for t in range(self.turns):
-            key = sample(cgk(self.windows, t), t, self.coordinates)
+            key = sample(cgk(self._padded(self.windows), t), t, self.coordinates)
             order = np.argsort(key, kind="stable")
             self.keys.append((key[order], order))
 
+    def _padded(self, windows: np.ndarray) -> np.ndarray:
+        """Windows of any length at the longest one's width, so that all walks have the same steps."""
+        return np.pad(windows, ((0, 0), (0, self.n + self.edits - windows.shape[1])), constant_values=-2)
+
     def match(self, texts: list[str]) -> Iterator[tuple[int, int]]:
         """(number of the text, item) of every verified match."""
         if not len(self.windows):
@@ -115,29 +148,44 @@ class ItemIndex:
         told = [words(t) for t in texts]
         size = np.array([len(w) for w in told], np.int64)
         total = int(size.sum())
-        if total < self.n:
+        shortest = max(1, self.n - self.edits)
+        if total < shortest:
             return
         ids = np.fromiter(map(self.vocabulary.__getitem__, chain.from_iterable(told)), np.int32, total)
         owner = np.repeat(np.arange(len(texts)), size)
         strange = np.concatenate([[0], np.cumsum(ids < 0)])
-        starts = np.flatnonzero((strange[self.n :] - strange[: -self.n] <= self.edits) & (owner[: total - self.n + 1] == owner[self.n - 1 :]))
+        known = None if self.runs is None else np.concatenate([[0], np.cumsum(np.isin(runs(ids, self.run), self.runs))])
         found = set()
+        for length in range(shortest, min(self.n + self.edits, total) + 1):
+            near = (strange[length:] - strange[:-length] <= self.edits) & (owner[: total - length + 1] == owner[length - 1 :])
+            if known is not None:
+                last = length - self.run + 1
+                near &= known[last:] > known[:-last]
+            self._search(ids, owner, np.flatnonzero(near), length, found)
+        yield from sorted(found)
+
+    def _search(self, ids: np.ndarray, owner: np.ndarray, starts: np.ndarray, length: int, found: set[tuple[int, int]]) -> None:
+        """Adds the verified matches of the windows of ``length`` words at ``starts``."""
         for lo in range(0, len(starts), 100_000):
             at = starts[lo : lo + 100_000]
-            windows = ids[at[:, None] + np.arange(self.n)]
+            windows = ids[at[:, None] + np.arange(length)]
             for t, (keys, order) in enumerate(self.keys):
-                key = sample(cgk(windows, t), t, self.coordinates)
+                key = sample(cgk(self._padded(windows), t), t, self.coordinates)
                 first, last = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                for i in np.flatnonzero(first < last):
-                    for k in order[first[i] : last[i]]:
-                        pair = (int(owner[at[i]]), int(self.owner[k]))
-                        if pair not in found and ((windows[i] == self.windows[k]).all() or (self.edits and edit_distance(windows[i], self.windows[k]) <= self.edits)):
-                            found.add(pair)
-        yield from sorted(found)
+                hit = np.flatnonzero(first < last)
+                part = np.cumsum(last[hit] - first[hit]) // CANDIDATES_AT_ONCE
+                for some in np.split(hit, np.flatnonzero(np.diff(part)) + 1):
+                    each = last[some] - first[some]
+                    i = np.repeat(some, each)
+                    k = order[np.arange(each.sum()) + np.repeat(first[some] - np.cumsum(each) + each, each)]
+                    fresh = np.fromiter((p not in found for p in zip(owner[at[i]].tolist(), self.owner[k].tolist())), bool, len(i)) if self.edits else np.ones(len(i), bool)
+                    i, k = i[fresh], k[fresh]
+                    ok = within(windows[i], self.windows[k], self.edits)
+                    found.update(zip(owner[at[i[ok]]].tolist(), self.owner[k[ok]].tolist()))
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, n: int = 13, edits: int = 0, coordinates: int = 8, recall: float = 0.99, windows_per_block: int = WINDOWS_PER_BLOCK) -> DataFrame:
-    """(doc_id, item_id) of documents with ``n`` consecutive words within ``edits`` word edits of an item's."""
+    """(doc_id, item_id) of documents with consecutive words within ``edits`` word edits of ``n`` consecutive words of an item."""
     kind = {c: df.schema[c].dataType.simpleString() for df, c in ((docs, doc_id), (items, item_id))}
     block: list[tuple[int, str]] = []
     blocks, held = [], 0

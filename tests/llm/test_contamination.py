@@ -69,3 +69,32 @@ def test_embedding_keeps_equal_and_near_windows_near():
 
 def test_words():
     assert C.words("Ä_b-c1 ÉT漢字 ٣") == ["ä", "b", "c1", "ét漢字", "٣"]
+
+
+def test_recall_of_each_kind_of_edit():
+    rng = random.Random(4)
+    items = [(i, " ".join(rng.sample(WORDS, 13))) for i in range(300)]
+    index = C.ItemIndex(items, 13, 1, 6, 0.95)
+    for kind in ("changed", "dropped", "added"):
+        edited = []
+        for _, t in items:
+            w, at = t.split(), rng.randrange(1, 12)
+            w[at : at + (kind != "added")] = [] if kind == "dropped" else ["new"]
+            edited.append(" ".join(w))
+        found = set(index.match(edited))
+        assert np.mean([(i, i) in found for i in range(300)]) >= 0.95
+
+
+def test_dropped_word_of_a_longer_passage():
+    passage = WORDS[:20]
+    index = C.ItemIndex([(7, " ".join(passage))], 13, 1, 6, 0.95)
+    assert list(index.match([" ".join(["x"] * 5 + passage[:10] + passage[11:] + ["y"] * 5)])) == [(0, 7)]
+    assert list(index.match([" ".join(passage[:12])])) == [(0, 7)] and not list(index.match([" ".join(passage[:11])]))
+
+
+def test_within_is_the_edit_distance():
+    rng = np.random.default_rng(2)
+    for width, edits in ((12, 1), (13, 1), (14, 1), (13, 0), (11, 2)):
+        a, b = rng.integers(0, 3, (200, width)), rng.integers(0, 3, (200, 13))
+        a[:120, :11] = b[:120, :11]
+        assert C.within(a, b, edits).tolist() == [C.edit_distance(x, y) <= edits for x, y in zip(a, b, strict=True)]
