@@ -26,10 +26,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return cofiring.over_chance(pairs, 4).select(F.col("item_a").alias("rule_id_a"), F.col("item_b").alias("rule_id_b"))
 
 
+def _pairs_with_chance(spark: SparkSession, d: str, min_pair: int) -> DataFrame:
+    pairs = cofiring.with_chance(cofiring.pair_counts(table(spark, d, "rule_hits"), "entry_id", "rule_id", min_pair=min_pair))
+    return pairs.select(F.col("item_a").alias("rule_id_a"), F.col("item_b").alias("rule_id_b"), "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
+
+
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every pair that fires together at least four times, with counts, lift and pmi."""
-    pairs = cofiring.with_chance(cofiring.pair_counts(table(spark, d, "rule_hits"), "entry_id", "rule_id", min_pair=4))
-    return pairs.select(F.col("item_a").alias("rule_id_a"), F.col("item_b").alias("rule_id_b"), "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
+    return _pairs_with_chance(spark, d, 4)
+
+
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair that fires together at all, with counts, lift and pmi."""
+    return _pairs_with_chance(spark, d, 1)
 
 
 def _survivors(spark: SparkSession, d: str, precedence: bool) -> DataFrame:
@@ -96,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "p1_redacted": p1_redacted,
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
+    "p3_counts": p3_counts,
     "p4_found": p4_found,
     "p4_fused": p4_fused,
     "p5_found": p5_found,

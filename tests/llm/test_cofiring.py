@@ -6,6 +6,7 @@ from itertools import combinations
 from math import log2
 
 from rulesieve.llm import cofiring
+from rulesieve.llm.queries import QUERIES
 
 
 def brute(rows, min_pair, inv):
@@ -45,3 +46,10 @@ def test_chance(spark):
 def test_empty(spark):
     assert cofiring.pair_counts(frame(spark, [(1, 1)]).limit(0), "entry_id", "rule_id").isEmpty()
     assert cofiring.pair_counts(frame(spark, [(None, None)]), "entry_id", "rule_id", 4, 2000).isEmpty()
+
+
+def test_counts_hold_rare_pairs(spark, tmp_path):
+    rows = [(e, i) for e in range(9) for i in ((1, 2) if e < 5 else (3, 4) if e < 6 else (1, 3))]
+    frame(spark, rows).write.parquet(str(tmp_path / "rule_hits.parquet"))
+    got = {(r["rule_id_a"], r["rule_id_b"]): (r["n_ab"], r["n_a"], r["n_b"], r["n"]) for r in QUERIES["p3_counts"](spark, str(tmp_path)).collect()}
+    assert got == brute(rows, 1, 10**9) and got[3, 4] == (1, 4, 1, 9)
