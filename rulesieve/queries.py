@@ -213,7 +213,7 @@ def quality_summary(spark: SparkSession, d: str) -> DataFrame:
 def synthetic_scan(spark: SparkSession, d: str) -> DataFrame:
     """Overlap of the base rules on strings made from them: rule, strings, related rules."""
     rules = _rules(spark, d).withColumn("rule_id", F.col("rule_id").cast("int"))
-    corpus = generate.generate(rules, generate.Settings(samples=30), skip_invalid=True)
+    corpus = generate.generate(rules, skip_invalid=True)
     cells = cut(matrix.matrix_of_corpus(hits_of_corpus(corpus, rules), corpus))
     sizes = matrix.corpus_sizes(corpus)
     pairs = classify.classify(classify.pair_ratios(cells, sizes), rules, matrix.overlap_counts(cells, rules))

@@ -8,6 +8,7 @@ from rulesieve.functions.patterns import compiled
 from rulesieve.operators import evaluate, generate, quality
 from rulesieve.operators.match import match
 from rulesieve.plans.analyze import diff_entries, evaluate_entries
+from rulesieve.queries import QUERIES
 from rulesieve.streaming.matching import stream_hits, windowed_counts
 
 RULES = [(0, "aws", r"AKIA[A-Z0-9]{4}", "s", ["cloud"], 1), (1, "any", r"[A-Z]{4}", "s", [], 1), (2, "never", "zzz", "s", ["cloud"], 1)]
@@ -105,3 +106,16 @@ def test_match_counts_are_zero_filled(rules, entries):
     hits = match(entries, rules)
     assert {r["name"]: r["matched_count"] for r in evaluate.match_counts(hits, rules).collect()} == {"aws": 3, "any": 4, "never": 0}
     assert [r["name"] for r in evaluate.never_firing(hits, rules).collect()] == ["never"]
+
+
+def test_scan_takes_the_default_settings(spark, monkeypatch):
+    told = []
+
+    def noted(rules, settings=generate.Settings(), skip_invalid=False):
+        told.append(settings)
+        raise SampleError("noted")
+
+    monkeypatch.setattr(generate, "generate", noted)
+    with pytest.raises(SampleError):
+        QUERIES["synthetic_scan"](spark, "/root/testdata/sf0.001")
+    assert told == [generate.Settings()]
