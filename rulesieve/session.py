@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
+from pathlib import Path
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def local_session(app: str = "rulesieve", cores: str = "*", partitions: int = 8) -> SparkSession:
-    """A local session with the settings the tests and the bench use."""
+    """A local session with the settings the tests, the bench and the command line use."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -26,20 +31,34 @@ def local_session(app: str = "rulesieve", cores: str = "*", partitions: int = 8)
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.memory", "6g")
+        .config("spark.checkpoint.dir", own_folder())
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config(MAP_PARTITIONS, str(partitions))
         .getOrCreate()
     )
 
 
+def own_folder() -> str:
+    """This process's checkpoint folder for a local session, removed when the process ends."""
+    path = Path(tempfile.gettempdir(), f"rulesieve-checkpoints-{os.getpid()}")
+    if not path.exists():
+        path.mkdir(parents=True)
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path.as_uri()
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+    """Cut the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (a local test) a temporary folder is used.
+    Only a session on one machine that names none gets a folder of its own; a cluster's must name one
+    that all its executors share.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rulesieve-"))
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or own_folder())
     return df.checkpoint(eager)
 
 
@@ -53,32 +72,29 @@ def trimmed(column):
     return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
 
 
-def hash_sample(df: DataFrame, columns: list[str], rows: int) -> list[tuple]:
-    """At most ``rows`` rows chosen by hash, the same under any partitioning; for fitting on a bounded sample.
+def hash_sample(df: DataFrame, key: str, columns: list[str], rows: int) -> list[tuple]:
+    """About ``rows`` rows, at most that many, chosen by hash of their key; for fitting on a bounded sample.
 
-    A first cut by hash, from the table's row count, keeps what the tasks send back near ``rows`` in all.
+    The share taken follows from the table's row count; where keys repeat so often that it holds too
+    few rows, it is doubled until it holds enough or is the whole table. A table with rows never gives
+    an empty sample.
     """
-    told = df.select(*columns)
-    share = 3 * rows / max(1, told.count())
-    if share < 1:
-        told = told.where(F.pmod(F.xxhash64(F.lit(1), *columns), F.lit(1_000_003)) < int(share * 1_000_003))
-    return [tuple(r) for r in told.orderBy(F.xxhash64(*columns), *columns).limit(rows).collect()]
+    told = df.select(F.pmod(F.xxhash64(F.lit(1), key), F.lit(1_000_003)).alias("h"), *columns)
+    count = told.count()
+    share = 1.2 * rows / max(1, count)
+    while True:
+        some = told.where(F.col("h") < int(share * 1_000_003) + 1) if share < 1 else told
+        got = [tuple(r)[1:] for r in some.limit(2 * rows).collect()]
+        if share >= 1 or len(got) >= min(rows, count) // 2:
+            return sorted(got, key=lambda r: crc32(repr(r).encode()))[:rows]
+        share *= 2
 
 
-#: Bytes a core below which an input may come in fewer splits than there are cores.
-SMALL_PER_CORE = 2 << 20
+#: Session parameter: partitions that costly maps are spread over. Unset, as on a cluster, inputs are read in their own splits and not shuffled.
+MAP_PARTITIONS = "spark.rulesieve.mapPartitions"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The frame over all cores where its input is small, so that it may come in very few splits.
-
-    For maps that are costly a row. By the planner's estimate, without running anything: an input of
-    more than ``SMALL_PER_CORE`` bytes a core, or of unknown size, is left as it is and not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming:
-        return df
-    # of the files as they are: the estimate of a projection knows nothing of long texts
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.repartition(cores) if size < cores * SMALL_PER_CORE else df
+    """The frame over as many partitions as the session parameter asks for; for small tables that come in one split."""
+    told = df.sparkSession.conf.get(MAP_PARTITIONS, "")
+    return df.repartition(int(told)) if told and not df.isStreaming else df
