@@ -73,10 +73,11 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _session():
+def _session(workers: int = 0):
+    """A local session on ``workers`` cores, or on all of them."""
     from rulesieve.session import local_session
 
-    spark = local_session(cores=os.environ.get("RULESIEVE_CPUS", "*"))
+    spark = local_session(cores=str(workers) if workers > 0 else os.environ.get("RULESIEVE_CPUS", "*"))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -94,7 +95,7 @@ def _study(a: argparse.Namespace) -> int:
     from rulesieve.plans.render import render
 
     told = priorities(a.priority) if a.command == "compare" else {}
-    report = analyze(_session(), a.files, a.threshold, samples=a.samples, negative_samples=a.negative_samples, seed=a.seed, workers=a.workers, partition_by=a.partition_by, skip_invalid=a.skip_invalid, priorities=told)
+    report = analyze(_session(a.workers), a.files, a.threshold, samples=a.samples, negative_samples=a.negative_samples, seed=a.seed, workers=a.workers, partition_by=a.partition_by, skip_invalid=a.skip_invalid, priorities=told)
     _write(render(report, a.format), a.output)
     return DUPLICATES if a.fail_on_duplicate and report.duplicates else DONE
 
@@ -117,9 +118,15 @@ def _generate(a: argparse.Namespace) -> int:
 
     loaded = load_files(a.files, a.skip_invalid)
     corpus = generate(rules_frame(_session(), loaded), Settings(samples=a.samples, seed=42 if a.seed is None else a.seed), a.skip_invalid)
-    rows = [{"text": r["text"], "source_rule": loaded[r["source_rule_id"]].name, "is_negative": r["is_negative"]} for r in corpus.orderBy("entry_id").toLocalIterator()]
-    Path(a.output).write_text(json.dumps(rows, indent=2), encoding="utf-8")
-    print(f"Generated {len(rows)} corpus entries → {a.output}")
+    n = 0
+    with Path(a.output).open("w", encoding="utf-8") as out:  # row by row: the corpus is never held here
+        out.write("[")
+        for r in corpus.orderBy("entry_id").toLocalIterator():
+            told = json.dumps({"text": r["text"], "source_rule": loaded[r["source_rule_id"]].name, "is_negative": r["is_negative"]})
+            out.write(("," if n else "") + "\n  " + told)
+            n += 1
+        out.write("\n]\n")
+    print(f"Generated {n} corpus entries → {a.output}")
     return DONE
 
 
@@ -131,7 +138,7 @@ def _evaluate(a: argparse.Namespace) -> int:
 
     loaded, spark = load_files(a.files, a.skip_invalid), _session()
     entries = load_git(spark, a.repo, a.max_commits) if a.command == "evaluate-git" else load_jsonl(spark, a.corpus, a.corpus_field, a.label_field)
-    report = evaluate_entries(rules_frame(spark, loaded), entries)
+    report = evaluate_entries(rules_frame(spark, loaded), entries, redact_samples=getattr(a, "redact_samples", False))
     if a.format == "summary":
         print(render.evaluation_summary(report), end="")
     elif a.format == "json":

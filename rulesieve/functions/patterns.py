@@ -48,103 +48,171 @@ def complexity(pattern: str) -> int:
     return sum(map(node, tree))
 
 
-def required_literal(pattern: str) -> tuple[str, bool]:
-    """(longest lower-cased ASCII literal that every match contains or '', whether case is ignored)."""
+def required_literals(pattern: str) -> tuple[frozenset[str], bool]:
+    """(lower-cased ASCII literals of which every match contains one, empty where there are none; whether case is ignored).
+
+    The longest run of literals that cannot be left out, or a choice all of whose branches have one,
+    whichever has the longer shortest literal.
+    """
     tree = parsed(pattern)
     ignore = bool(tree.state.flags & re.IGNORECASE)
-    runs: list[str] = []
-    broken = False
-
-    def walk(sub, into: list[str], fold: bool) -> None:
-        nonlocal broken
-        for op, arg in sub:
-            if op is sre.LITERAL and arg < 128:
-                into.append(chr(arg).lower())
-                continue
-            if op is sre.SUBPATTERN:
-                _, add, drop, inner = arg
-                if (add | drop) & re.IGNORECASE:
-                    broken = True
-                walk(inner, into, fold)
-                continue
-            if op is sre.AT:
-                continue
-            if op in _REPEATS and arg[0] >= 1:
-                into.append("\0")
-                walk(arg[2], into, fold)
-            into.append("\0")
-
-    told: list[str] = []
-    walk(tree, told, ignore)
-    runs = "".join(told).split("\0")
-    return ("", ignore) if broken else (max(runs, key=len, default=""), ignore)
-
-
-_CLASS_REWRITE = {"[": r"\[", "&": r"\&"}
+    changed = False  # flags within the pattern: what is found holds only if they don't concern case
+
+    def best(sub) -> frozenset[str]:
+        nonlocal changed
+        choices: list[frozenset[str]] = []
+        runs = [""]
+
+        def walk(sub) -> None:
+            nonlocal changed
+            for op, arg in sub:
+                if op is sre.LITERAL and arg < 128:
+                    runs[-1] += chr(arg).lower()
+                elif op is sre.SUBPATTERN:
+                    changed |= bool((arg[1] | arg[2]) & re.IGNORECASE)
+                    walk(arg[3])
+                elif op is sre.AT:
+                    continue
+                else:
+                    runs.append("")
+                    if op in _REPEATS and arg[0] >= 1:
+                        walk(arg[2])
+                    elif op is sre.BRANCH:
+                        inner = [best(x) for x in arg[1]]
+                        if all(inner):
+                            choices.append(frozenset().union(*inner))
+                    elif op is getattr(sre, "ATOMIC_GROUP", None):
+                        walk(arg)
+                    runs.append("")
+
+        walk(sub)
+        longest = max(runs, key=len)
+        options = choices + ([frozenset({longest})] if longest else [])
+        return max(options, key=lambda o: (min(map(len, o)), -len(o)), default=frozenset())
+
+    found = best(tree)
+    return (frozenset(), ignore) if changed else (found, ignore)
+
+
+#: White space as Python sees it, and ASCII's (fixed values).
+_SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_ASCII_SPACE = r"\t-\r\x20"
+#: Characters beyond ASCII that a case-blind pattern may take for an ASCII letter (fixed value).
+_EXTRA = "\u0130\u0131\u017f\u212a"
+_MOST_REPEATS = 1000
+
+
+class _NoCounterpart(Exception):
+    pass
+
+
+def _char(code: int) -> str:
+    if 0xD800 <= code <= 0xDFFF:
+        raise _NoCounterpart
+    c = chr(code)
+    return c if c.isascii() and c.isalnum() else rf"\x{{{code:x}}}"
+
+
+def _category(name, ascii_only: bool) -> str:
+    """Items of a JVM class for a category of Python's."""
+    space, digit, word = (_ASCII_SPACE, "0-9", "a-zA-Z0-9_") if ascii_only else (_SPACE, r"\p{Nd}", r"\p{L}\p{N}_")
+    items = {sre.CATEGORY_SPACE: space, sre.CATEGORY_DIGIT: digit, sre.CATEGORY_WORD: word}
+    against = {sre.CATEGORY_NOT_SPACE: space, sre.CATEGORY_NOT_DIGIT: digit, sre.CATEGORY_NOT_WORD: word}
+    if name in items:
+        return items[name]
+    if name in against:
+        return f"[^{against[name]}]"
+    raise _NoCounterpart
+
+
+def _blind(test: str) -> str:
+    """Items of a JVM class for what the one-character Python pattern ``test`` takes when case is ignored; ASCII and what folds to it."""
+    one = re.compile(test, re.IGNORECASE)
+    return "".join(_char(ord(c)) for c in [*map(chr, range(128)), *_EXTRA] if one.fullmatch(c))
+
+
+def _class(items, flags: int) -> str:
+    negated = bool(items) and items[0][0] is sre.NEGATE
+    out = []
+    for op, arg in items[negated:]:
+        if op is sre.CATEGORY:
+            out.append(_category(arg, bool(flags & re.ASCII)))
+        elif op in (sre.LITERAL, sre.RANGE):
+            lo, hi = (arg, arg) if op is sre.LITERAL else arg
+            if flags & re.IGNORECASE:
+                if hi > 127 or flags & re.ASCII:
+                    raise _NoCounterpart
+                out.append(_blind(f"[{re.escape(chr(lo))}-{re.escape(chr(hi))}]"))
+            else:
+                out.append(_char(lo) if lo == hi else f"{_char(lo)}-{_char(hi)}")
+        else:
+            raise _NoCounterpart
+    return f"[{'^' if negated else ''}{''.join(out)}]"
+
+
+def _jvm(sub, flags: int, depth: int = 0) -> str:
+    out = []
+    for op, arg in sub:
+        if op is sre.LITERAL:
+            out.append(_class([(sre.LITERAL, arg)], flags) if flags & re.IGNORECASE and chr(arg).lower() != chr(arg).upper() else _char(arg))
+        elif op is sre.NOT_LITERAL:
+            out.append(_class([(sre.NEGATE, None), (sre.LITERAL, arg)], flags))
+        elif op is sre.IN:
+            out.append(_class(arg, flags))
+        elif op is sre.ANY:
+            out.append(r"[\x{0}-\x{10ffff}]" if flags & re.DOTALL else r"[^\n]")
+        elif op is sre.BRANCH:
+            out.append("(?:" + "|".join(_jvm(x, flags, depth + 1) for x in arg[1]) + ")")
+        elif op is sre.SUBPATTERN:
+            group, add, drop, inner = arg
+            out.append(("(" if group is not None else "(?:") + _jvm(inner, (flags | add) & ~drop, depth + 1) + ")")
+        elif op in _REPEATS:
+            low, high, inner = arg
+            # the JVM walks a repeated group by recursion: long ones would exhaust its stack
+            if len(inner) != 1 or inner[0][0] not in (sre.LITERAL, sre.NOT_LITERAL, sre.IN, sre.ANY):
+                if high is sre.MAXREPEAT or int(high) > _MOST_REPEATS:
+                    raise _NoCounterpart
+            bound = "{%d,}" % low if high is sre.MAXREPEAT else "{%d,%d}" % (low, high)
+            kind = {"MIN_REPEAT": "?", "POSSESSIVE_REPEAT": "+"}.get(str(op), "")
+            out.append(f"(?:{_jvm(inner, flags, depth + 1)}){bound}{kind}")
+        elif op is sre.GROUPREF and not flags & re.IGNORECASE:
+            out.append(rf"(?:\{arg})")
+        elif op in (sre.ASSERT, sre.ASSERT_NOT):
+            sign = ("=" if op is sre.ASSERT else "!") if arg[0] > 0 else ("<=" if op is sre.ASSERT else "<!")
+            out.append(f"(?{sign}{_jvm(arg[1], flags, depth + 1)})")
+        elif op is getattr(sre, "ATOMIC_GROUP", None):
+            out.append(f"(?>{_jvm(arg, flags, depth + 1)})")
+        elif op is sre.AT:
+            word = f"[{_category(sre.CATEGORY_WORD, bool(flags & re.ASCII))}]"
+            at = {
+                sre.AT_BEGINNING: r"(?:\A|(?<=\n))" if flags & re.MULTILINE else r"\A",
+                sre.AT_BEGINNING_STRING: r"\A",
+                sre.AT_END: r"(?=\n|\z)" if flags & re.MULTILINE else r"(?=\n?\z)",
+                sre.AT_END_STRING: r"\z",
+                sre.AT_BOUNDARY: f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))",
+            }.get(arg)
+            if at is None:
+                raise _NoCounterpart
+            out.append(at)
+        else:
+            raise _NoCounterpart
+    return "".join(out)
 
 
 def to_jvm(pattern: str) -> str | None:
-    """An equivalent pattern for java.util.regex under the flags d and U, or None.
+    """An equivalent pattern for java.util.regex without flags, or None.
 
-    Tokenises the pattern once: named groups lose their underscores, ``\\Z`` becomes ``\\z``, an open
-    bracket or ampersand inside a class is quoted, ``{,n}`` gets its zero, a lone brace is quoted and
-    white space gains the separators 0x1c-0x1f. Conditionals and the ASCII flag have no counterpart.
+    Written anew from Python's syntax tree over a list of node types: characters by number, categories
+    and boundaries spelled out, case-blind ASCII as classes. Conditionals, case-blind characters
+    beyond ASCII, back references that ignore case, the opposite of a boundary, and groups repeated
+    without a small bound have no counterpart. Letters of a Unicode version newer than the JVM's are
+    the one difference left.
     """
     try:
-        names = {n: f"g{i}" for i, n in enumerate(compiled(pattern).groupindex, 1)}
-    except (re.error, RecursionError, OverflowError):
-        return None
-    if re.search(r"\(\?\(|\(\?[a-zA-Z-]*[aLu]", pattern):
+        tree = parsed(pattern)
+        compiled(pattern)
+        if tree.state.flags & re.LOCALE:
+            return None
+        return _jvm(tree, tree.state.flags)
+    except (re.error, RecursionError, OverflowError, _NoCounterpart):
         return None
-    out, i, inside = [], 0, False
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\" and i + 1 < len(pattern):
-            two = pattern[i : i + 2]
-            if two == r"\Z" and not inside:
-                out.append(r"\z")
-            elif two == r"\s":
-                out.append(r"\s\x1c-\x1f" if inside else r"[\s\x1c-\x1f]")
-            elif two == r"\S" and not inside:
-                out.append(r"[^\s\x1c-\x1f]")
-            elif two in (r"\S", r"\N"):
-                return None
-            else:
-                out.append(two)
-            i += 2
-        elif inside:
-            if c == "]":
-                inside = False
-                out.append(c)
-            elif c == "[" or pattern.startswith("&&", i):
-                out.append(_CLASS_REWRITE[c])
-            else:
-                out.append(c)
-            i += 1
-        elif c == "[":
-            inside = True
-            step = 2 if pattern.startswith("[^", i) else 1
-            out.append(pattern[i : i + step])
-            i += step
-            if pattern.startswith("]", i):
-                out.append(r"\]")
-                i += 1
-        elif c == "{":
-            bound = re.match(r"\{(\d*)(,?)(\d*)\}", pattern[i:])
-            if bound and (bound[1] or bound[3]) and out:
-                out.append("{" + (bound[1] or "0") + bound[2] + bound[3] + "}")
-                i += len(bound[0])
-            else:
-                out.append(r"\{")
-                i += 1
-        elif c == "}":
-            out.append(r"\}")
-            i += 1
-        elif pattern.startswith("(?P", i):
-            named = re.match(r"\(\?P<(\w+)>|\(\?P=(\w+)\)", pattern[i:])
-            out.append(f"(?<{names[named[1]]}>" if named[1] else rf"\k<{names[named[2]]}>")
-            i += len(named[0])
-        else:
-            out.append(c)
-            i += 1
-    return "(?dU)" + "".join(out)

@@ -80,3 +80,39 @@ class Sampler:
             out = set("".join(told))
             return self.rng.choice([c for c in PRINTABLE if c not in out] or ["é"])
         return self.rng.choice(self.rng.choice(told))
+
+
+class NearMiss(Sampler):
+    """Strings that keep to the pattern but for one place, where its syntax tree is not obeyed.
+
+    A literal becomes another character, a class gives one from outside, a repeat falls one short of
+    its least count, an anchor gets something beyond it. Whether the result still matches by other
+    ways is for the caller to check.
+    """
+
+    def one(self) -> str:
+        self.place, self.target = 0, -1
+        whole = super().one()  # counts the places of one walk
+        self.place, self.target = 0, self.rng.randrange(self.place) if self.place else -1
+        return super().one() if self.target >= 0 else whole
+
+    def _emit(self, op, arg) -> str:
+        if op in (sre.LITERAL, sre.NOT_LITERAL, sre.IN, sre.ANY, sre.AT) or (op in _REPEATS and arg[0] > 0):
+            self.place += 1
+            if self.place - 1 == self.target:
+                return self._broken(op, arg)
+        return super()._emit(op, arg)
+
+    def _broken(self, op, arg) -> str:
+        if op is sre.LITERAL:
+            return self.rng.choice(PRINTABLE.replace(chr(arg), ""))
+        if op is sre.NOT_LITERAL:
+            return chr(arg)
+        if op is sre.ANY:
+            return "\n"
+        if op is sre.IN:
+            inside = arg[1:] if arg and arg[0][0] is sre.NEGATE else [(sre.NEGATE, None), *arg]
+            return self._class(inside)
+        if op is sre.AT:
+            return self.rng.choice(string.ascii_letters)
+        return "".join(self._walk(arg[2]) for _ in range(arg[0] - 1))

@@ -7,7 +7,8 @@ the JSON parser), and only then given to the typed constructors. The first of ``
 Defined results: blank and null lines and the first line of a CSV file are neither valid nor
 rejected; a layout that isn't known rejects with ``columns``; an unquoted line end inside one
 record makes it two and rejects with ``columns``; repeated rows come out as often as they went in
-(the query's result is distinct); extra columns are carried through untouched where asked for.
+(the query's result is distinct); extra columns are carried through untouched where asked for; a
+priority beyond 64 bits rejects with ``values``.
 One map over the rows, no shuffle.
 """
 
@@ -42,19 +43,32 @@ class Reject(ValueError):
         self.reason, self.detail = reason, detail
 
 
-def assemble(lines: Iterator[str]) -> Iterator[tuple[int, str]]:
-    """(number of the first line, record): lines are joined while a quoted field is open."""
-    held, number, quotes = [], 0, 0
-    for i, line in enumerate(lines, 1):
-        if not held:
-            number = i
-        held.append(line)
-        quotes += line.count('"')
-        if quotes % 2 == 0:
-            yield number, "".join(held).rstrip("\r\n")
-            held, quotes = [], 0
-    if held:
-        yield number, "".join(held).rstrip("\r\n")
+def assemble(lines: list[str]) -> Iterator[tuple[int, str]]:
+    """(number of the first line, record) of CSV lines: lines are joined while a quoted field is open.
+
+    A line that parses by itself is a record. One that leaves a quoted field open goes on to the line
+    that closes it, if what comes together then parses as one record; else the line stands alone, is
+    rejected later, and the next line begins anew. So a stray quote costs its own line only.
+    """
+    odd = [n for n, line in enumerate(lines) if line.count('"') % 2]
+    n = k = 0
+    while n < len(lines):
+        end = n + 1
+        if lines[n].count('"') % 2 and _parts(lines[n]) < 0:
+            while k < len(odd) and odd[k] <= n:
+                k += 1
+            if k < len(odd) and _parts(joined := "".join(lines[n : odd[k] + 1])) == 1 and joined:
+                end = odd[k] + 1
+        yield n + 1, "".join(lines[n:end]).rstrip("\r\n")
+        n = end
+
+
+def _parts(text: str) -> int:
+    """Records in a text; -1 where a quoted field stays open or closes wrongly."""
+    try:
+        return len(list(csv.reader(io.StringIO(text, newline=""), strict=True)))
+    except csv.Error:
+        return -1
 
 
 def csv_fields(record: str) -> list[str]:
@@ -85,7 +99,9 @@ def rule_row(fields: list[str]) -> dict:
     number = priority.strip()
     if number and not INTEGER.fullmatch(number):
         raise Reject("values", f"priority {priority!r}")
-    return {"name": name, "pattern": pattern, "source": source, "detector": detector, "severity": level or None, "priority": int(number) if number and abs(int(number)) < 2**63 else None}
+    if len(number.lstrip("+-0")) > 19 or (number and not -(2**63) <= int(number) < 2**63):
+        raise Reject("values", "priority beyond 64 bits")
+    return {"name": name, "pattern": pattern, "source": source, "detector": detector, "severity": level or None, "priority": int(number) if number else None}
 
 
 def entry_row(fields: list[str]) -> dict:
@@ -106,9 +122,14 @@ def _no_constant(name: str):
     raise ValueError(f"{name} is no JSON")
 
 
+def _long(digits: str):
+    """An integer; one too long to be read as a number stays text."""
+    return int(digits) if len(digits) < 4000 else digits
+
+
 def json_row(record: str) -> dict:
     try:
-        value = json.loads(record, parse_constant=_no_constant)
+        value = json.loads(record, parse_constant=_no_constant, parse_int=_long)
     except (ValueError, RecursionError) as e:
         raise Reject("syntax", str(e)) from None
     if not isinstance(value, dict) or "text" not in value:
@@ -172,12 +193,19 @@ def rejects(loaded: DataFrame, key: str = "row_id") -> DataFrame:
 
 
 def read_files(spark: SparkSession, paths: str | list[str], layout: str) -> DataFrame:
-    """raw rows (file_name, line_no, layout, raw_text, row_id) of text files, assembled quote-aware; one task holds one file."""
+    """raw rows (file_name, line_no, layout, raw_text, row_id) of text files.
+
+    JSON lines are records of their own and are split wherever Spark splits the file; their line_no
+    orders them within it. CSV is assembled quote-aware, one file a task.
+    """
+    if LAYOUTS.get(layout, (1, None))[0] == 0:
+        lines = spark.read.text(paths).select(F.input_file_name().alias("file_name"), F.monotonically_increasing_id().alias("row_id"), "value")
+        return lines.select("file_name", F.lit(None).cast("int").alias("line_no"), F.lit(layout).alias("layout"), F.col("value").alias("raw_text"), "row_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                records = list(assemble(io.StringIO(text, newline="")))
+                records = list(assemble(list(io.StringIO(text, newline=""))))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(records), pa.string()), pa.array([n for n, _ in records], pa.int32()), pa.array([layout] * len(records), pa.string()), pa.array([r for _, r in records], pa.string())],
                     ["file_name", "line_no", "layout", "raw_text"],

@@ -59,13 +59,9 @@ def co_firing_top(pairs: DataFrame, n: int = 100) -> DataFrame:
     return pairs.orderBy(F.desc("count"), "rule_a", "rule_b").limit(n)
 
 
-def relevant(entries: DataFrame, rules: DataFrame) -> DataFrame:
-    """(entry_id, rule_id) of labelled entries whose label is the rule's name or one of its tags.
-
-    The theta join ``name = label or label in tags`` as an equi join on the rule's labels.
-    """
-    told = rules.select("rule_id", F.explode(F.array_union(F.array("name"), F.coalesce("tags", F.array().cast("array<string>")))).alias("label")).distinct()
-    return entries.where("label <> ''").select("entry_id", "label").join(told, "label").select("entry_id", "rule_id").distinct()
+def labels_of(rules: DataFrame) -> DataFrame:
+    """(rule_id, label): a rule's name and its tags; ``name = label or label in tags`` as an equi join."""
+    return rules.select("rule_id", F.explode(F.array_union(F.array("name"), F.coalesce("tags", F.array().cast("array<string>")))).alias("label")).distinct()
 
 
 def _share(part, whole):
@@ -74,15 +70,13 @@ def _share(part, whole):
 
 def labelled_metrics(hits: DataFrame, entries: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule_id, name, matched_count, tp, fp, fn, precision, recall, f1); entry_id is unique in entries."""
-    h = distinct_hits(hits)
-    labelled = entries.where("label <> ''").select("entry_id")
-    fired = h.join(labelled, "entry_id", "left_semi").withColumn("fired", F.lit(1))
-    wanted = relevant(entries, rules).withColumn("wanted", F.lit(1))
-    counts = (
-        fired.join(wanted, ["entry_id", "rule_id"], "full")
-        .groupBy("rule_id")
-        .agg(F.count_if(F.expr("fired = 1 AND wanted = 1")).alias("tp"), F.count_if(F.expr("fired = 1 AND wanted IS NULL")).alias("fp"), F.count_if(F.expr("fired IS NULL")).alias("fn"))
-    )
+    # no pair of an entry and a rule relevant to it is formed: what is missed is the rule's relevant total less what it found
+    labelled, told = entries.where("label <> ''").select("entry_id", "label"), labels_of(rules)
+    total = labelled.groupBy("label").agg(F.count("*").alias("n")).join(told, "label").groupBy("rule_id").agg(F.sum("n").alias("wanted"))
+    fired = distinct_hits(hits).join(labelled, "entry_id").groupBy("rule_id", "label").agg(F.count("*").alias("n"))
+    right = fired.join(told.withColumn("right", F.lit(True)), ["rule_id", "label"], "left")
+    found = right.groupBy("rule_id").agg(F.sum(F.when(F.col("right"), F.col("n")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("right"), 0).otherwise(F.col("n"))).alias("fp"))
+    counts = total.join(found, "rule_id", "full").na.fill(0, ["wanted", "tp", "fp"]).select("rule_id", "tp", "fp", (F.col("wanted") - F.col("tp")).alias("fn"))
     m = match_counts(hits, rules).join(counts, "rule_id", "left").na.fill(0, ["tp", "fp", "fn"])
     p, r = _share(F.col("tp"), F.col("tp") + F.col("fp")), _share(F.col("tp"), F.col("tp") + F.col("fn"))
     return m.select("rule_id", "name", "matched_count", "tp", "fp", "fn", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(_share(2 * p * r, p + r), 4).alias("f1"))

@@ -7,7 +7,7 @@ _R = f"""{_M}, r AS (SELECT a.rule_id AS rule_a, a.source_rule_id AS rule_b, a.c
   FROM m a JOIN s sa ON sa.rule_id = a.rule_id JOIN s sb ON sb.rule_id = a.source_rule_id WHERE a.rule_id < a.source_rule_id)"""
 _P = f"""{_R}, w AS (SELECT rule_id, count(*) AS n FROM m WHERE rule_id <> source_rule_id GROUP BY 1),
 k AS (SELECT b.rule_id, b.name, b.source, coalesce(b.priority, 0) AS pri,
-    coalesce(CASE json_extract_string(b.metadata, '$.catch_all') WHEN 'true' THEN true WHEN 'false' THEN false END, coalesce(w.n, 0) > 30) AS wide FROM base_rules b LEFT JOIN w USING (rule_id)),
+    coalesce(CASE WHEN json_type(b.metadata, '$.catch_all') = 'BOOLEAN' THEN json_extract_string(b.metadata, '$.catch_all') = 'true' END, coalesce(w.n, 0) > 30) AS wide FROM base_rules b LEFT JOIN w USING (rule_id)),
 c AS (SELECT r.*, a.name AS na, b.name AS nb, a.source AS sa, b.source AS sb, a.pri AS pa, b.pri AS pb, a.wide AS wa, b.wide AS wb,
     CASE WHEN a2b >= 0.4 AND b2a >= 0.4 THEN 'duplicate' WHEN a2b >= 0.4 THEN 'subset' WHEN b2a >= 0.4 THEN 'superset' WHEN a2b >= 0.1 OR b2a >= 0.1 THEN 'overlap' END AS relationship
   FROM r JOIN k a ON a.rule_id = rule_a JOIN k b ON b.rule_id = rule_b),

@@ -6,6 +6,7 @@ related pairs, which is what a report lists.
 
 from __future__ import annotations
 
+import logging
 import time
 from collections import Counter
 from collections.abc import Sequence
@@ -18,11 +19,13 @@ from pyspark.sql import functions as F
 import rulesieve
 from rulesieve import schemas as S
 from rulesieve.operators import classify, cluster, evaluate, matrix, quality
-from rulesieve.operators.generate import Settings, generate
+from rulesieve.operators.generate import Settings, diversity, generate
 from rulesieve.operators.match import match
 from rulesieve.session import cut
 from rulesieve.sources.rules import load_files, rules_frame
 
+log = logging.getLogger("rulesieve.plans")
+WIDE_INTERVAL, LARGE_CLUSTER = 0.3, 5
 PARTITION_FIELDS = ("name", "source", "detector", "severity", "priority")
 
 
@@ -57,7 +60,13 @@ def hits_of_corpus(corpus: DataFrame, rules: DataFrame, partition_by: str | None
         raise ValueError(f"rules can be partitioned by {', '.join(PARTITION_FIELDS)}, not by {partition_by!r}")
     keyed = rules.select(F.col("rule_id").alias("source_rule_id"), F.col(partition_by).cast("string").alias("own_key"))
     told = rules.withColumn("rule_key", F.col(partition_by).cast("string"))
-    return match(strings.join(F.broadcast(keyed), "source_rule_id"), told, engine=engine, partition=("own_key", "rule_key"))
+    return match(strings.join(keyed, "source_rule_id"), told, engine=engine, partition=("own_key", "rule_key"))
+
+
+def warn_low_diversity(corpus: DataFrame, rules: DataFrame) -> None:
+    low = diversity(corpus.where("NOT is_negative"), "source_rule_id").where("is_low").join(rules.select(F.col("rule_id").alias("source_rule_id"), "name"), "source_rule_id")
+    for r in low.orderBy("source_rule_id").toLocalIterator():
+        log.warning("'%s': its strings are much alike (%.2f of them differ in their middle)", r["name"], r["ratio"])
 
 
 def analyze(
@@ -71,6 +80,10 @@ def analyze(
     corpus = generate(rules, Settings(samples=samples, negatives=negative_samples, seed=42 if seed is None else seed), skip_invalid)
     made = corpus.agg(F.count("*").alias("n"), F.count_if("is_negative").alias("bad")).first()
     generated = time.monotonic()
+    if made["n"] == made["bad"]:
+        log.warning("no strings to match the rules against")
+    else:
+        warn_low_diversity(corpus, rules)
 
     cells = cut(matrix.matrix_of_corpus(hits_of_corpus(corpus, rules, partition_by, engine), corpus))
     sizes = cut(matrix.corpus_sizes(corpus))
@@ -83,6 +96,13 @@ def analyze(
     found = dicts(pairs.orderBy("rule_id_a", "rule_id_b"))
     counted = classify.totals(pairs).first().asDict()
     grouped = dicts(groups.orderBy("id"))
+    for p in found:
+        width = max(p[c]["hi"] - p[c]["lo"] for c in ("ci_a_to_b", "ci_b_to_a"))
+        if width > WIDE_INTERVAL:
+            log.warning("'%s' and '%s': interval %.2f wide; more samples would narrow it", p["rule_a"], p["rule_b"], width)
+    for c in grouped:
+        if len(c["rules"]) > LARGE_CLUSTER:
+            log.warning("cluster %d has %d rules; its members may be linked through others only", c["id"], len(c["rules"]))
     rates = dicts(rated.orderBy("rule_id"))
     said = quality.summary(rated).first().asDict()
     show = lambda test, *keys: [{k: r[k] for k in keys} for r in rates if r[test]]
@@ -99,10 +119,18 @@ def analyze(
     )
 
 
-def evaluate_entries(rules: DataFrame, entries: DataFrame, engine: str = "python") -> dict:
-    """Counts, metrics and the 100 most frequent co-firing pairs of rules on real entries."""
+#: Hits that the debug log names.
+LOGGED_HITS = 1000
+
+
+def evaluate_entries(rules: DataFrame, entries: DataFrame, engine: str = "python", redact_samples: bool = False) -> dict:
+    """Counts, metrics and the 100 most frequent co-firing pairs of rules on real entries; ``redact_samples`` keeps hits out of the debug log."""
     begun = time.monotonic()
     hits = cut(match(entries, rules, engine=engine))
+    if log.isEnabledFor(logging.DEBUG) and not redact_samples:
+        named = hits.join(rules.select("rule_id", "name"), "rule_id").join(entries.select("entry_id", "source"), "entry_id")
+        for r in named.orderBy("entry_id", "rule_id").take(LOGGED_HITS):
+            log.debug("'%s' matches entry %s (source %s)", r["name"], r["entry_id"], r["source"])
     sizes = entries.agg(F.count("*").alias("n"), F.count_if(F.expr("label <> ''")).alias("labelled")).first()
     metrics = cut(evaluate.labelled_metrics(hits, entries, rules))
     pairs = cut(evaluate.co_firing(hits, rules))
@@ -116,7 +144,9 @@ def evaluate_entries(rules: DataFrame, entries: DataFrame, engine: str = "python
 
 def diff_entries(rules: DataFrame, a: DataFrame, b: DataFrame, name_a: str = "a", name_b: str = "b", threshold: float = evaluate.DRIFT, engine: str = "python") -> dict:
     """Drift of the rules' match rates between two corpora, found in one match pass over both."""
-    both = cut(a.select("text", F.lit("a").alias("side")).union(b.select("text", F.lit("b").alias("side"))).withColumn("entry_id", F.monotonically_increasing_id()))
+    # an entry's own id and its side make one id for both, so no text is written again
+    of = lambda e, side, low: e.select("text", F.lit(side).alias("side"), (F.col("entry_id") * 2 + low).alias("entry_id"))
+    both = of(a, "a", 0).union(of(b, "b", 1))
     rows = evaluate.drift(match(both, rules, engine=engine), both.select("entry_id", "side"), rules, threshold)
     results = dicts(rows.orderBy(F.desc("drift"), "rule_id"))
     n = {r["side"]: r["count"] for r in both.groupBy("side").count().collect()}

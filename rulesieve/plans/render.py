@@ -86,6 +86,7 @@ def as_table(report: Report) -> str:
 
 
 def as_summary(report: Report) -> str:
+    # fixed values: the sentences of the summary
     s = report.summary
     out = f"Analyzed {report.input['total_rules']} rules from {len(report.input['files'])} file(s). Found {s['duplicate_pairs']} duplicate pair(s), {s['subset_pairs']} subset pair(s), and {s['overlap_pairs']} partial overlap(s) across {s['clusters']} cluster(s). "
     drop, review = s["rules_recommended_drop"], s["rules_recommended_review"]

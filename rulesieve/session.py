@@ -47,18 +47,26 @@ def own_folder() -> str:
     return path.as_uri()
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
     Only a session on one machine that names none gets a folder of its own; a cluster's must name one
     that all its executors share.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    sc = spark.sparkContext
+    set_already = sc._jsc.sc().getCheckpointDir()
+    if set_already.isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or own_folder())
+        set_already = sc._jsc.sc().getCheckpointDir()
+    return set_already.get()
+
+
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager)
 
 

@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
+import json
+import logging
 import subprocess
+import tempfile
 from collections.abc import Iterator
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulesieve.errors import InputError
+from rulesieve.session import checkpoint_folder, cut
+
+log = logging.getLogger("rulesieve.sources")
+#: Stands before every commit in the log; no text of a patch holds it as a rule.
+COMMIT = "\x1e\x1d\x1e"
 
 
 def _said(value: object) -> str:
     return value if isinstance(value, str) else str(value)
 
 
-def jsonl_lines(lines: DataFrame, text_field: str = "text", label_field: str = "label", source_field: str = "source", line: str = "value") -> DataFrame:
-    """(text, label, source) of lines that are JSON objects with a text; other lines are left out.
+def jsonl_lines(lines: DataFrame, text_field: str = "text", label_field: str = "label", source_field: str = "source", line: str = "value", keep_bad: bool = False) -> DataFrame:
+    """(text, label, source) of lines that are JSON objects with a text; other lines are left out, or kept with a null text.
 
     Values that are no strings become what Python prints for them, so a null label becomes 'None'.
+    Blank lines and empty texts are left out in either case: they are no faults.
     """
-    import json
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for told in batch.column(0).to_pylist():
                 told = (told or "").strip()
                 if not told:
@@ -33,8 +43,10 @@ def jsonl_lines(lines: DataFrame, text_field: str = "text", label_field: str = "
                 try:
                     value = json.loads(told)
                 except (ValueError, RecursionError):
-                    continue
-                if isinstance(value, dict) and (text := value.get(text_field)):
+                    value = None
+                if not isinstance(value, dict):
+                    rows += [(None, None, None)] if keep_bad else []
+                elif text := value.get(text_field):
                     rows.append((_said(text), _said(value.get(label_field, "")), _said(value.get(source_field, ""))))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["text", "label", "source"])
 
@@ -42,49 +54,66 @@ def jsonl_lines(lines: DataFrame, text_field: str = "text", label_field: str = "
 
 
 def load_jsonl(spark: SparkSession, path: str, text_field: str = "text", label_field: str = "label", source_field: str = "source") -> DataFrame:
-    """(entry_id, text, label, source); raises InputError where the file is missing or holds no entry."""
+    """(entry_id, text, label, source), parsed once and cut; raises InputError where the file is missing or holds no entry."""
     try:
         lines = spark.read.text(path)
     except Exception as e:
         raise InputError(f"{path}: {e}") from e
-    entries = jsonl_lines(lines, text_field, label_field, source_field)
-    out = entries.select(F.monotonically_increasing_id().alias("entry_id"), "text", "label", "source")
-    if out.isEmpty():
+    parsed = cut(jsonl_lines(lines, text_field, label_field, source_field, keep_bad=True).select(F.monotonically_increasing_id().alias("entry_id"), "*"))
+    counts = parsed.agg(F.count("*").alias("n"), F.count_if(F.col("text").isNull()).alias("bad")).first()
+    if counts["bad"]:
+        log.warning("%s: %d lines are no JSON objects and were left out", path, counts["bad"])
+    if counts["n"] == counts["bad"]:
         raise InputError(f"{path}: no entries")
-    return out
+    return parsed.where("text IS NOT NULL")
 
 
-def git_log(repo: str, max_commits: int = 500, seconds: int = 120) -> str:
-    command = ["git", "-C", repo, "log", f"--max-count={max_commits}", "--diff-filter=AM", "-p", "--no-color", "--unified=0"]
+def git_log(repo: str, into: Path, max_commits: int = 500, seconds: int = 120) -> None:
+    """Writes the history's patches to a file, one commit after each record separator; nothing is held in memory."""
+    command = ["git", "-C", repo, "log", f"--max-count={max_commits}", "--diff-filter=AM", "-p", "--no-color", "--unified=0", f"--format={COMMIT}%H"]
     try:
-        done = subprocess.run(command, capture_output=True, text=True, errors="replace", timeout=seconds, check=False)
+        with into.open("wb") as out:
+            done = subprocess.run(command, stdout=out, stderr=subprocess.PIPE, timeout=seconds, check=False)
     except (OSError, subprocess.TimeoutExpired) as e:
         raise InputError(f"{repo}: {e}") from e
     if done.returncode:
-        raise InputError(f"{repo}: {done.stderr.strip()}")
-    return done.stdout
+        raise InputError(f"{repo}: {done.stderr.decode(errors='replace').strip()}")
 
 
-def added_lines(lines: DataFrame, max_line_length: int = 500) -> DataFrame:
-    """(text, label, source) of lines (line_no, value) of a git log: first occurrence of every added line.
+def added_lines(commits: DataFrame, max_line_length: int = 500) -> DataFrame:
+    """(text, label, source) of commits (commit_no, value), value a hash and its patch: first occurrence of every added line.
 
-    The commit and file of a line are the last ones named before it, carried forward by a window.
+    A commit is one row, so the file of a line is carried forward within it and nothing is sorted in one task.
     """
-    commit = F.when(F.col("value").rlike("^commit [0-9a-f]{7,}"), F.substring("value", 8, 7))
-    path = F.when(F.col("value").startswith("+++ b/"), F.substring(F.col("value"), F.lit(7), F.length("value")))
-    before = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = lines.withColumn("commit", F.last(commit, ignorenulls=True).over(before)).withColumn("path", F.last(path, ignorenulls=True).over(before))
-    added = placed.where(F.col("value").startswith("+") & ~F.col("value").startswith("+++"))
-    text = added.select("line_no", F.expr("substring(value, 2)").alias("text"), "commit", "path").where((F.trim("text") != "") & (F.length("text") <= max_line_length))
-    first = text.groupBy("text").agg(F.min_by(F.struct("line_no", "commit", "path"), "line_no").alias("f"))
-    source = F.concat(F.coalesce("f.commit", F.lit("")), F.lit(":"), F.coalesce("f.path", F.lit("")))
-    return first.select(F.col("f.line_no").alias("entry_id"), "text", F.lit("").alias("label"), source.alias("source"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for number, told in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                head, *lines = (told or "").split("\n")
+                path = ""
+                for n, line in enumerate(lines):
+                    if line.startswith("+++"):
+                        path = line[6:] if line.startswith("+++ b/") else path
+                    elif line.startswith("+") and line[1:].strip() and len(line) - 1 <= max_line_length:
+                        rows.append((number, n, line[1:], f"{head[:7]}:{path}"))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], ["commit_no", "line_no", "text", "source"])
+
+    lines = commits.select("commit_no", "value").mapInArrow(run, "commit_no bigint, line_no bigint, text string, source string")
+    first = lines.groupBy("text").agg(F.min_by("source", F.struct("commit_no", "line_no")).alias("source"))
+    return first.select("text", F.lit("").alias("label"), "source")
 
 
 def load_git(spark: SparkSession, repo: str, max_commits: int = 500, max_line_length: int = 500) -> DataFrame:
-    """(entry_id, text, label '', source 'hash7:path') of a repository's added lines; the log comes through one process."""
-    told = git_log(repo, max_commits).split("\n")
-    entries = added_lines(spark.createDataFrame(list(enumerate(told)), "line_no bigint, value string"), max_line_length)
+    """(entry_id, text, label '', source 'hash7:path') of a repository's added lines; the log goes through a file in the folder for checkpoints, which all executors share."""
+    shared = urlparse(checkpoint_folder(spark))
+    if shared.scheme not in ("", "file"):
+        raise InputError(f"{repo}: the history is read through spark.checkpoint.dir, which must be a mounted folder, not {shared.scheme}")
+    with tempfile.TemporaryDirectory(prefix="git-", dir=shared.path) as folder:
+        file = Path(folder, "log")
+        git_log(repo, file, max_commits)
+        commits = spark.read.option("lineSep", COMMIT).text(file.as_uri()).where("value <> ''").select(F.monotonically_increasing_id().alias("commit_no"), "value")
+        entries = cut(added_lines(commits, max_line_length).select(F.monotonically_increasing_id().alias("entry_id"), "*"))
     if entries.isEmpty():
         raise InputError(f"{repo}: no added lines")
     return entries

@@ -83,15 +83,18 @@ def checked(path: str, priority: int = 0, field_mapping: dict[str, str] | None =
 def load_rules(path: str | Path, skip_invalid: bool = False, priority: int = 0, field_mapping: dict[str, str] | None = None) -> list[Rule]:
     """The valid rules of a file. The first invalid entry raises, or is logged and left out with ``skip_invalid``."""
     rules: list[Rule] = []
+    skipped = 0
     for r in checked(str(path), priority, field_mapping):
         if isinstance(r, Rule):
             rules.append(r)
         elif skip_invalid:
+            skipped += 1
             log.warning("left out: %s", r)
         else:
             raise r
     if not rules:
         raise InputError(f"{path}: no valid rules")
+    log.info("%s: %d rules loaded, %d left out", path, len(rules), skipped)
     return rules
 
 
@@ -113,6 +116,6 @@ def rules_frame(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
 
 
 def rules_of_table(table: DataFrame) -> DataFrame:
-    """A stored rule table (rule_id, name, …, metadata JSON) with catch_all read from its metadata."""
-    flag = F.get_json_object("metadata", "$.catch_all")
-    return table.withColumn("catch_all", F.when(flag == "true", True).when(flag == "false", False))
+    """A stored rule table (rule_id, name, …, metadata JSON) with catch_all read from its metadata, where it is a boolean."""
+    told = F.try_variant_get(F.try_parse_json("metadata"), "$.catch_all", "variant")
+    return table.withColumn("catch_all", F.when(F.schema_of_variant(told) == "BOOLEAN", told.cast("boolean")))

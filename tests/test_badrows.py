@@ -45,7 +45,29 @@ def test_a_very_long_field():
 
 def test_assembly_and_files(spark, tmp_path):
     text = 'text,label,source,seen_on\r\n"a\nb ""c""",l,s,2024-01-01\n\nplain,l,s,2024-01-02\n"open,l,s,2024-01-01\nnever closed'
-    assert [n for n, _ in assemble(io.StringIO(text, newline=""))] == [1, 2, 4, 5, 6]
+    assert [n for n, _ in assemble(list(io.StringIO(text, newline="")))] == [1, 2, 4, 5, 6, 7]
     (tmp_path / "f.csv").write_text(text)
     loaded = load_rows(read_files(spark, str(tmp_path / "f.csv"), E))
-    assert sorted((r["reason"] or "", r["text"] or "") for r in loaded.collect()) == [("", 'a\nb "c"'), ("", "plain"), ("syntax", "")]
+    assert sorted((r["reason"] or "", r["text"] or "") for r in loaded.collect()) == [("", 'a\nb "c"'), ("", "plain"), ("columns", ""), ("syntax", "")]
+
+
+@pytest.mark.parametrize("stray", ['n1,a"b,s,d,high,1', '"n1,ab,s,d,high,1', '"n1"x,ab,s,d,high,1', 'n1,"a"b,s,d,high,1', '"n1,"ab",s,d,high,1', 'n1,ab,"s,d,high,1'])
+def test_a_stray_quote_costs_its_own_line_only(spark, tmp_path, stray):
+    later = [f'k{i},"p{i}{{1,2}} ""q"" \n more",s,d,low,{i}' if i % 5 == 0 else f"k{i},p{i},s,d,low,{i}" for i in range(20)]
+    (tmp_path / "r.csv").write_text("\n".join(["name,pattern,source,detector,severity,priority", stray, *later]) + "\n")
+    got = load_rows(read_files(spark, str(tmp_path / "r.csv"), R)).collect()
+    assert {r["name"] for r in got if r["reason"] is None} >= {f"k{i}" for i in range(20)} and len(got) == 21
+
+
+def test_json_lines_are_split_at_line_ends_only(spark, tmp_path):
+    lines = ['{"text": "5\\" disk"}', '{"text": "a \\"b"}', '{"text": "open', '{"text": "c"}', "", '{"text": "d", "n": ' + "9" * 5000 + "}"]
+    (tmp_path / "e.jsonl").write_text("\n".join(lines) + "\n")
+    got = load_rows(read_files(spark, str(tmp_path / "e.jsonl"), J)).collect()
+    assert len(got) == 5 and [r["reason"] for r in got if r["reason"]] == ["syntax"]
+    assert {r["text"] for r in got if r["reason"] is None} == {'5" disk', 'a "b', "c", "d"}
+
+
+@pytest.mark.parametrize("number", ["9" * 5000, "-" + "9" * 25, str(2**63), "-" + str(2**63 + 1)])
+def test_integers_beyond_64_bits(number):
+    assert parse(R, 2, f"n,p,s,d,high,{number}")["reason"] == "values"
+    assert parse(R, 2, f"n,p,s,d,high,{2**63 - 1}")["priority"] == 2**63 - 1 and parse(R, 2, "n,p,s,d,high,-0007")["priority"] == -7

@@ -67,7 +67,7 @@ PATTERNS = [(0, "digits", r"\d{8}"), (1, "hex", r"[0-9a-f]{16}"), (2, "wide", r"
 
 def test_generated_strings(spark):
     rules = spark.createDataFrame(PATTERNS, "rule_id int, name string, pattern string")
-    settings = generate.Settings(samples=20, longest=120, seconds=30.0)
+    settings = generate.Settings(samples=20, longest=120)
     a = generate.generate(rules.repartition(1), settings).collect()
     b = generate.generate(rules.repartition(5), settings).collect()
     assert sorted(a) == sorted(b)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulesieve.functions import patterns, stats
-from rulesieve.functions.sampler import Sampler
+from rulesieve.functions.sampler import NearMiss, Sampler
 
 
 def one(spark, column):
@@ -43,15 +43,21 @@ def test_complexity():
     assert patterns.complexity("(") == 0
 
 
-@pytest.mark.parametrize(("pattern", "literal"), [(r"foo\d+barbaz", "barbaz"), (r"(?i)AbCd", "abcd"), (r"a|bcd", ""), (r"(?:token)+x", "token"), (r"(abc)?de", "de"), (r"x{0,3}yz", "yz")])
-def test_required_literal(pattern, literal):
-    assert patterns.required_literal(pattern)[0] == literal
+@pytest.mark.parametrize(("pattern", "literals"), [
+    (r"foo\d+barbaz", {"barbaz"}), (r"(?i)AbCd", {"abcd"}), (r"a|bcd", {"a", "bcd"}), (r"(?:token)+x", {"token"}), (r"(abc)?de", {"de"}), (r"x{0,3}yz", {"yz"}),
+    (r"(?:secret|token)\s*=", {"secret", "token"}), (r"(?:a|\d)x", {"x"}), (r"(foo|bar)?", set()), (r"ab(?:cdef|ghij)", {"cdef", "ghij"}), (r"(?i:abc)", set()),
+])
+def test_required_literals(pattern, literals):
+    assert patterns.required_literals(pattern)[0] == literals
 
 
 PROBES = [
     (r"(?P<a_b>x)(?P=a_b)", ["xx", "xy"]), (r"end\Z", ["end", "end\n"]), (r"a.b", ["a\rb", "a\nb"]), (r"\d+", ["٣", "x"]), (r"\w", ["é", "!"]),
-    (r"^\s$", [" ", "\x1c"]), (r"[[]", ["[", "]"]), (r"[a&&b]", ["&", "c"]), (r"a{,2}$", ["aa", "b"]), (r"a{b", ["a{b", "ab"]), (r"(?i)é", ["É", "e"]),
+    (r"^\s$", [" ", "\x1c"]), (r"[[]", ["[", "]"]), (r"[a&&b]", ["&", "c"]), (r"a{,2}$", ["aa", "b"]), (r"a{b", ["a{b", "ab"]), (r"(?i)straSSe", ["STRASSE", "\u017ftrasse", "e"]),
     (r"[]x]", ["]", "y"]), (r"(?<=a)b", ["ab", "b"]), (r"x{2,3}y", ["xxy", "xy"]), (r"[^\s]z", ["az", " z"]),
+    (r"a\vb", ["a\nb", "a\x0bb"]), (r"(?x)[a ]z", [" z", "az", "bz"]), (r"\101", ["A", "1"]), (r"(?m)^$", ["a\n", "a", "\n"]), (r"a\0b", ["a\0b", "ab"]), (r"\U0001F600", ["\U0001F600", "x"]),
+    (r"(?i)[a-z]{3}", ["\u212aEY", "12"]), (r"(?i)[^k]$", ["\u212a", "K", "x"]), (r"\bé\b", ["é", "aé"]), (r"(?s)a.b", ["a\nb"]), (r"(?a)\w\d\s", ["é٣\x1c", "a1 "]), (r"(?m)b$", ["b\nc", "bc"]), (r"b$", ["b\n", "b\nc", "b\n\n"]),
+    (r"(?i:a)b", ["Ab", "AB"]), (r"[\w.-]+@x", ["é.-@x"]), (r"\Aab", ["ab", "xab"]), (r"[^\W\d_]+$", ["é", "_", "5"]), (r"(?:ab){2,3}c", ["ababc", "abc"]),
 ]
 
 
@@ -62,8 +68,17 @@ def test_jvm_dialect_agrees(spark, pattern, texts):
     assert got == [bool(re.search(pattern, t)) for t in texts]
 
 
-def test_jvm_dialect_refuses():
-    assert patterns.to_jvm(r"(a)?(?(1)b|c)") is None and patterns.to_jvm(r"(?a)\w") is None and patterns.to_jvm("(") is None
+@pytest.mark.parametrize("pattern", [r"(a)?(?(1)b|c)", "(", r"(?i)é", r"(?:ab)*c", r"\Bx", r"(?i)(a)\1"])
+def test_jvm_dialect_refuses(pattern):
+    assert patterns.to_jvm(pattern) is None
+
+
+@pytest.mark.parametrize("pattern", [r"\d{8}", r"^[0-9a-f]{16}$", r"key=[A-Z]{20}\b", r"(foo|bar)-\d{4}", r"a.+z"])
+def test_near_misses_mostly_miss_and_keep_close(pattern):
+    n, rng = NearMiss(pattern, random.Random(2)), random.Random(3)
+    told = [n.one() for _ in range(200)]
+    assert sum(not re.search(pattern, t) for t in told) > 40 and rng
+    assert {NearMiss(pattern, random.Random(9)).one() for _ in range(2)} == {NearMiss(pattern, random.Random(9)).one()}
 
 
 @pytest.mark.parametrize("pattern", [r"\d{8}", r"[0-9a-f]{16}", r"(?i)\[INST\]", r"[a-f0-9]{146}", r"a.+z", r"(foo|ba[rz]){2}\1", r"\w+@\w+\.com", r"[^a-z]{3}", r"x(?=y)y", r"(?>ab)c", r"-----BEGIN (?:RSA|EC) KEY-----"])

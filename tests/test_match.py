@@ -43,23 +43,53 @@ def test_empty_sides(frames):
     assert match(e.limit(0), r).isEmpty() and match(e, r.limit(0)).isEmpty()
 
 
-def test_spread_only_small_inputs(spark, tmp_path, monkeypatch):
+def test_a_string_is_never_held_against_rules_of_other_keys(monkeypatch):
+    from rulesieve.operators import match as M
+
+    sent = ("name", {"x": [(1, "foo")], "y": [(2, "fo")]})
+    assert M.matcher_of(sent, "x").hits("foo") == [1] and M.matcher_of(sent, "y").hits("foo") == [2] and M.matcher_of(sent, "z") is None
+    assert M.matcher_of(sent, "x") is M.matcher_of(sent, "x")
+    assert M.matcher_of(("other", {"x": [(7, "foo")]}), "x").hits("foo") == [7] and len(M._MATCHERS) == 1
+
+
+def test_branches_lead_the_search():
+    from rulesieve.operators.match import Matcher
+
+    m = Matcher([(1, r"(?:secret|token)=\w+"), (2, r"\d"), (3, r"(?i)kelvin"), (4, "("), (5, r"alpha|beta\d")])
+    assert len(m.always) == 1
+    assert sorted(m.hits("TOKEN=a token=b")) == [1] and sorted(m.hits("beta7 alph")) == [2, 5] and m.hits("\u212aelvin") == [3]
+
+
+def test_spread_follows_the_session_parameter(spark):
     from rulesieve import session
 
-    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
-    df = spark.read.parquet(str(tmp_path / "t"))
-    assert session.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    monkeypatch.setattr(session, "SMALL_PER_CORE", 0)
-    assert session.spread(df) is df
+    df = spark.range(100).coalesce(1)
+    kept = spark.conf.get(session.MAP_PARTITIONS)
+    try:
+        spark.conf.set(session.MAP_PARTITIONS, "3")
+        assert session.spread(df).rdd.getNumPartitions() == 3
+        spark.conf.unset(session.MAP_PARTITIONS)
+        assert session.spread(df) is df
+    finally:
+        spark.conf.set(session.MAP_PARTITIONS, kept)
 
 
 def test_hash_sample_is_bounded_and_stable(spark):
     from rulesieve.session import hash_sample
 
     df = spark.range(5000).selectExpr("id", "cast(id AS string) AS t", "'x' AS other")
-    a = hash_sample(df.repartition(3), ["id", "t"], 200)
-    assert len(a) == 200 and a == hash_sample(df.repartition(7), ["id", "t"], 200)
-    assert len(hash_sample(df.limit(50), ["id"], 200)) == 50 and hash_sample(df.limit(0), ["id"], 200) == []
+    a = hash_sample(df.repartition(3), "id", ["id", "t"], 200)
+    assert 100 <= len(a) <= 200 and a == hash_sample(df.repartition(7), "id", ["id", "t"], 200)
+    assert len(hash_sample(df.limit(50), "id", ["id"], 200)) == 50 and hash_sample(df.limit(0), "id", ["id"], 200) == []
+    same = spark.range(30_000).selectExpr("7 AS id", "'equal' AS t")
+    assert len(hash_sample(same, "id", ["t"], 12)) == 12
+
+
+def test_checkpoints_need_a_named_folder_on_a_cluster(spark, monkeypatch):
+    from rulesieve import session
+
+    assert session.checkpoint_folder(spark).startswith("file:")
+    assert "mkdtemp" not in open(session.__file__).read()
 
 
 def test_latest_delivery_decides(spark):

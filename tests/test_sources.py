@@ -143,7 +143,7 @@ def pack(tmp_path):
 
 @pytest.fixture
 def no_new_session(spark, monkeypatch):
-    monkeypatch.setattr(cli, "_session", lambda: spark)
+    monkeypatch.setattr(cli, "_session", lambda *a: spark)
 
 
 def test_scan_formats_and_exit_codes(pack, tmp_path, no_new_session, capsys):
@@ -191,3 +191,32 @@ def test_json_logs(tmp_path):
     setup("info", str(tmp_path / "l"), "json").info("hi %s", "x")
     assert json.loads((tmp_path / "l").read_text())["message"] == "hi x"
     setup()
+
+
+def test_a_broken_adapter_file_is_bad_input(tmp_path, capsys):
+    f = put(tmp_path / "r.yaml", "rules:\n  - id: a\n    pattern-regex: \"x\n  bad: [\n")
+    assert cli.main(["validate", f]) == 2 and "ERROR" in capsys.readouterr().err
+    assert cli.main(["validate", put(tmp_path / "s.yml", "title: x\nlogsource: {}\ndetection: [\n")]) == 2
+
+
+def test_only_a_boolean_is_a_catch_all(spark):
+    from rulesieve.sources.rules import rules_of_table
+
+    told = ['{"catch_all": true}', '{"catch_all": false}', '{"catch_all": "true"}', '{"catch_all": 1}', "{}", None, "no json"]
+    df = spark.createDataFrame(list(enumerate(told)), "rule_id int, metadata string")
+    assert [r["catch_all"] for r in rules_of_table(df).orderBy("rule_id").collect()] == [True, False, None, None, None, None, None]
+
+
+def test_snort_options_keep_quotes_and_escapes():
+    line = 'alert tcp any any -> any any (msg:"a; b:c"; content:"x\\;y"; pcre:"/a\\/b;c\\"d/Ui"; pcre:!"/neg/"; sid: 42 ; priority:2; classtype:web-app;)'
+    got = {k: v for k, v, _ in formats.Snort.options(line)}
+    assert got["msg"] == "a; b:c" and got["sid"] == "42" and got["classtype"] == "web-app"
+    one, *rest = formats.Snort()._many(line, 7)
+    assert one["pattern"] == 'a/b;c\\"d' and one["metadata"]["pcre_modifiers"] == "Ui" and one["severity"] == "high" and one["name"].startswith("sid:42")
+
+
+def test_warnings(spark, tmp_path, caplog):
+    f = put(tmp_path / "c.jsonl", '{"text": "a"}\nno\n[1]\n')
+    with caplog.at_level("WARNING", "rulesieve"):
+        assert corpus.load_jsonl(spark, f).count() == 1
+    assert "2 lines" in caplog.text
