@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from rulesieve.llm.sharedspans import shared_chars
+from rulesieve.llm.sharedspans import _common, _tree, shared_chars
 
 
 def brute(docs, n):
@@ -44,11 +44,11 @@ def corpus(kind):
 
 
 @pytest.mark.parametrize("kind", ["passages", "periodic", "boilerplate", "copies"])
-@pytest.mark.parametrize("hot", [4000, 2])
-def test_against_brute_force(spark, kind, hot):
+@pytest.mark.parametrize("group_rows", [4000, 3])
+def test_against_brute_force(spark, kind, group_rows):
     docs = corpus(kind)
     df = spark.createDataFrame([(*r, 1, "k") for r in docs + docs[:3]], "doc_id bigint, text string, d int, key string")
-    got = [tuple(r) for r in shared_chars(df, "doc_id", "text", span=60, prefix=24, hot=hot).collect()]
+    got = [tuple(r) for r in shared_chars(df, "doc_id", "text", span=60, prefix=24, group_rows=group_rows).collect()]
     assert len(got) == len(dict(got)) and dict(got) == brute(docs, 60)
 
 
@@ -59,3 +59,14 @@ def test_empty_and_long(spark):
     long = "".join(rng.choices("abcdefgh ", k=1_500_000))
     df = spark.createDataFrame([(1, long), (2, "zz" + long[700_000:701_000] + "zz"), (3, "solo" * 200)], "doc_id bigint, text string")
     assert {tuple(r) for r in shared_chars(df, "doc_id", "text").collect()} == {(1, 1000), (2, 1000)}
+
+
+def test_trees():
+    texts = ["abcd", "abce", "b", "abc", "b", ""]
+    order, common = _tree([0, 0, 0, 0, 1, 0], texts)
+    assert [texts[i] for i in order] == ["", "abc", "abcd", "abce", "b", "b"] and common.tolist() == [-1, 0, 3, 3, 0, -1]
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("ab", k=rng.randrange(12))) for _ in range(2))
+        n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert _common(a, b) == n
