@@ -2,13 +2,18 @@
 
 A column lifespan catalogue: the top-level keys of every record are exploded with their types, the
 type of a field in a file is that of most of its non-null values, and the files of a feed are
-numbered in order. Per feed, field and type, runs of consecutive files are the islands; an island
-that doesn't begin with the feed's first file is a start, one that ends before its last file an
-ending. Starts and endings of one field at one file are a change of type; a start and an ending of
-two fields whose values agree for most rules in both files are a renaming; the rest are additions
-and removals.
+numbered in order. Per feed, field and type, runs of consecutive files are the islands. Where one
+island of a field follows another without a gap its type has changed; an island that begins after a
+gap is a start, one that ends before the feed's last file an ending. A start and an ending of two
+fields whose values agree for most rules in both files are a renaming; the rest are additions and
+removals.
 
-Only (file, field, type) counts and the values of starting and ending fields are shuffled.
+Which rule a record is about is told by its values: string fields with (nearly) as many values as
+the file has records identify, whatever they are called, and two records that share such a value are
+about one rule.
+
+Only (file, field, type) counts and the values of identifying, starting and ending fields are
+shuffled.
 
 Defined results: bodies that aren't JSON objects have no fields; records delivered again count
 once (the latest body stays); null feeds and file numbers are left out; a feed of one file has no
@@ -22,24 +27,24 @@ from pyspark.sql import functions as F
 
 from rulesieve.session import broadcast_up_to, cut
 
-#: Names under which a rule's own name is known in the feeds (fixed values); the identity of a rule across files.
-NAME_KEYS = ("name", "Name", "rule_name", "ruleName", "rule_id", "id")
+#: Share of distinct values from which a string field of a file identifies its records; below one, as the count is approximate.
+IDENTIFIES = 0.9
 
-#: Canonical field -> (type, keys it is known by); fixed values.
+#: Canonical field -> (type, keys it is commonly known by); further keys are learned from the renamings.
 ALIASES: dict[str, tuple[str, tuple[str, ...]]] = {
-    "name": ("string", NAME_KEYS),
-    "pattern": ("string", ("pattern", "regex", "regexp", "re", "expr")),
-    "severity": ("string", ("severity", "Severity", "level", "risk")),
+    "name": ("string", ("name", "rule_name", "id", "rule_id")),
+    "pattern": ("string", ("pattern", "regex", "regexp", "re")),
+    "severity": ("string", ("severity", "level")),
     "detector": ("string", ("detector", "type", "category")),
-    "enabled": ("boolean", ("enabled", "active", "is_on")),
-    "tags": ("array<string>", ("tags", "topics", "groups")),
-    "entropy": ("double", ("entropy", "min_entropy")),
-    "priority": ("bigint", ("priority", "rank", "weight")),
-    "samples": ("bigint", ("samples", "n_samples", "probe_count")),
-    "confidence": ("double", ("confidence", "score", "trust")),
-    "description": ("string", ("description", "summary", "msg")),
-    "owner": ("string", ("owner", "maintainer", "crew")),
-    "reviewer": ("string", ("reviewer", "checked_by", "approver")),
+    "enabled": ("boolean", ("enabled",)),
+    "tags": ("array<string>", ("tags",)),
+    "entropy": ("double", ("entropy",)),
+    "priority": ("bigint", ("priority",)),
+    "samples": ("bigint", ("samples",)),
+    "confidence": ("double", ("confidence",)),
+    "description": ("string", ("description",)),
+    "owner": ("string", ("owner",)),
+    "reviewer": ("string", ("reviewer",)),
 }
 
 
@@ -63,60 +68,98 @@ def exploded(once: DataFrame) -> DataFrame:
 
 
 def catalogue(values: DataFrame) -> DataFrame:
-    """(feed, file_no, field, type)."""
-    counts = values.groupBy("feed", "file_no", "field", "type").agg(F.count("*").alias("n"))
-    return counts.groupBy("feed", "file_no", "field").agg(F.min_by("type", F.struct(-F.col("n"), "type")).alias("type"))
+    """(feed, file_no, field, type, share): share is that of distinct values among the field's non-null ones, 0 for no string field."""
+    counts = values.groupBy("feed", "file_no", "field", "type").agg(F.count("*").alias("n"), F.approx_count_distinct(F.when(F.col("type") == "string", F.col("value"))).alias("distinct"))
+    best = F.min_by(F.struct("type", (F.col("distinct") / F.col("n")).alias("share")), F.struct(-F.col("n"), "type"))
+    return counts.groupBy("feed", "file_no", "field").agg(best.alias("b"), F.sum("n").alias("n")).select("feed", "file_no", "field", "b.type", F.when(F.col("b.type") == "string", F.col("b.share")).otherwise(0.0).alias("share"), "n")
+
+
+def placed_files(once: DataFrame) -> DataFrame:
+    """(feed, file_no, at, files): the place of every file within its feed from 1, and how many files the feed has."""
+    files = once.select("feed", "file_no").distinct()
+    return files.withColumn("at", F.row_number().over(Window.partitionBy("feed").orderBy("file_no"))).withColumn("files", F.count("*").over(Window.partitionBy("feed")))
 
 
-def lifespans(fields: DataFrame, files: DataFrame) -> DataFrame:
-    """(feed, field, type, begin, finish, files): islands of consecutive files; file positions count from 1."""
-    placed = files.withColumn("at", F.row_number().over(Window.partitionBy("feed").orderBy("file_no"))).withColumn("files", F.count("*").over(Window.partitionBy("feed")))
+def lifespans(fields: DataFrame) -> DataFrame:
+    """(feed, field, type, begin, finish, files) of fields (feed, field, type, at, files): islands of consecutive files."""
     in_order = Window.partitionBy("feed", "field", "type").orderBy("at")
-    steps = fields.join(placed, ["feed", "file_no"]).withColumn("breaks", F.coalesce(F.col("at") - F.lag("at").over(in_order) > 1, F.lit(False)).cast("int"))
+    steps = fields.withColumn("breaks", F.coalesce(F.col("at") - F.lag("at").over(in_order) > 1, F.lit(False)).cast("int"))
     islands = steps.withColumn("island", F.sum("breaks").over(in_order))
     return islands.groupBy("feed", "field", "type", "island").agg(F.min("at").alias("begin"), F.max("at").alias("finish"), F.max("files").alias("files")).drop("island")
 
 
-def changes(records: DataFrame, name_keys: tuple[str, ...] = NAME_KEYS) -> DataFrame:
-    """(feed, file_no, field_name, drift_kind, detail)."""
-    once = cut(delivered_once(records))
-    files = cut(once.select("feed", "file_no").distinct())
-    spans = cut(lifespans(catalogue(exploded(once)), files))
-    starts = spans.where("begin > 1").select("feed", "field", "type", F.col("begin").alias("at"))
-    endings = spans.where("finish < files").select("feed", "field", F.col("type").alias("old_type"), (F.col("finish") + 1).alias("at"))
-    met = starts.join(endings, ["feed", "field", "at"], "full")
-    retyped = met.where("type IS NOT NULL AND old_type IS NOT NULL")
-    comes = met.where("old_type IS NULL").select("feed", "at", F.col("field").alias("new"), F.col("type").alias("kind"))
-    goes = met.where("type IS NULL").select("feed", "at", F.col("field").alias("old"), F.col("old_type").alias("kind"))
-
-    placed = files.withColumn("at", F.row_number().over(Window.partitionBy("feed").orderBy("file_no")))
-    # of the values only those of names and of fields that start or end are kept; the catalogue of these is small
-    wanted = cut(comes.select("feed", "at", F.col("new").alias("field")).union(goes.select("feed", F.col("at") - 1, "old")).distinct())
-    here = exploded(once).join(placed, ["feed", "file_no"]).drop("file_no")
-    changed = here.join(broadcast_up_to(wanted, wanted.count()), ["feed", "at", "field"], "left_semi")
-    here = cut(changed.select("feed", "at", "record", "field", "value").union(here.where(F.col("field").isin(*name_keys)).select("feed", "at", "record", "field", "value")).distinct())
-    who = here.where(F.col("field").isin(*name_keys)).groupBy("feed", "at", "record").agg(F.min("value").alias("rule"))
-    told = lambda fields, shift: (
-        here.withColumn("at", F.col("at") + shift)
-        .join(fields, ["feed", "at", "field"])
-        .join(who.withColumn("at", F.col("at") + shift), ["feed", "at", "record"])
-        .select("feed", "at", "field", "kind", "rule", "value")
-        .distinct()
+def turns(spans: DataFrame) -> DataFrame:
+    """(feed, field, at, what, type, detail) of every start, ending and change of type."""
+    of_field = Window.partitionBy("feed", "field").orderBy("begin")
+    told = spans.select("*", F.lag("finish").over(of_field).alias("before"), F.lag("type").over(of_field).alias("was"), F.lead("begin").over(of_field).alias("after"))
+    event = lambda what, at, detail: F.struct(F.lit(what).alias("what"), at.cast("int").alias("at"), detail.alias("detail"))
+    begin, finish = F.col("begin"), F.col("finish")
+    joins = F.coalesce(F.col("before") + 1 == begin, F.lit(False))
+    events = F.array(
+        F.when((begin > 1) & joins, event("type_changed", begin, F.concat_ws(" to ", "was", "type"))),
+        F.when((begin > 1) & ~joins, event("start", begin, F.col("type"))),
+        F.when((finish < F.col("files")) & ~F.coalesce(F.col("after") == finish + 1, F.lit(False)), event("ending", finish + 1, F.col("type"))),
     )
-    before = told(goes.withColumnRenamed("old", "field"), 1).withColumnsRenamed({"field": "old", "value": "was"})
-    after = told(comes.withColumnRenamed("new", "field"), 0).withColumnsRenamed({"field": "new", "value": "is"})
-    both = before.join(after, ["feed", "at", "kind", "rule"]).groupBy("feed", "at", "old", "new").agg(F.count_if(F.col("was") == F.col("is")).alias("same"), F.count("*").alias("n"))
-    close = both.where("same * 2 > n")
+    return told.select("feed", "field", "type", F.explode(F.array_compact(events)).alias("e")).select("feed", "field", "e.at", "e.what", "type", "e.detail")
+
+
+def renamings(once: DataFrame, files: DataFrame, fields: DataFrame, events: DataFrame) -> DataFrame:
+    """(feed, at, old, new) of endings and starts of one type whose values agree for most rules in both files."""
+    ends = events.where("what = 'ending'").select("feed", "at", "type", F.col("field").alias("old"))
+    starts = events.where("what = 'start'").select("feed", "at", "type", F.col("field").alias("new"))
+    both = cut(ends.join(starts, ["feed", "at", "type"]))
+    sides = both.select("feed", "at", F.explode(F.array(F.struct((F.col("at") - 1).alias("here"), F.col("old").alias("field"), F.lit(0).alias("side")), F.struct(F.col("at").alias("here"), F.col("new").alias("field"), F.lit(1).alias("side")))).alias("s"))
+    sides = sides.select("feed", "at", F.col("s.here").alias("here"), "s.field", "s.side").distinct()
+    # values of a file are wanted as those of a field that goes or comes, and of the fields that identify its records
+    told = sides.select("feed", "at", "here", "side").distinct()
+    known = fields.where(F.col("share") >= IDENTIFIES).select("feed", F.col("at").alias("here"), "field")
+    wanted = cut(sides.withColumn("identifies", F.lit(False)).union(told.join(known, ["feed", "here"]).select("feed", "at", "here", "field", "side", F.lit(True))))
+    where = files.select("feed", "file_no", F.col("at").alias("here"))
+    wanted = wanted.join(where, ["feed", "here"]).drop("here")
+    values = cut(exploded(once).join(broadcast_up_to(wanted, wanted.count()), ["feed", "file_no", "field"]).select("feed", "at", "side", "record", "field", "value", "identifies"))
+    who = values.where("identifies").select("feed", "at", "side", "record", F.col("value").alias("rule"))
+    # a value that several records of a file have tells nothing
+    who = who.groupBy("feed", "at", "side", "rule").agg(F.min("record").alias("record"), F.max("record").alias("other")).where("record = other")
+    pairs = who.groupBy("feed", "at", "rule").agg(F.max(F.when(F.col("side") == 0, F.col("record"))).alias("r0"), F.max(F.when(F.col("side") == 1, F.col("record"))).alias("r1")).where("r0 IS NOT NULL AND r1 IS NOT NULL").select("feed", "at", "r0", "r1").distinct()
+    of = lambda side, name, value, record: values.where(f"NOT identifies AND side = {side}").select("feed", "at", F.col("record").alias(record), F.col("field").alias(name), F.col("value").alias(value))
+    met = pairs.join(of(0, "old", "was", "r0"), ["feed", "at", "r0"]).join(of(1, "new", "is", "r1"), ["feed", "at", "r1"]).join(both.select("feed", "at", "old", "new"), ["feed", "at", "old", "new"], "left_semi")
+    close = met.groupBy("feed", "at", "old", "new").agg(F.count_if(F.col("was") == F.col("is")).alias("same"), F.count("*").alias("n")).where("same * 2 > n")
     best = lambda side: Window.partitionBy("feed", "at", side).orderBy(F.desc("same"), "old", "new")
-    renamed = close.withColumn("r1", F.row_number().over(best("old"))).withColumn("r2", F.row_number().over(best("new"))).where("r1 = 1 AND r2 = 1").select("feed", "at", "old", "new")
+    return close.withColumn("r1", F.row_number().over(best("old"))).withColumn("r2", F.row_number().over(best("new"))).where("r1 = 1 AND r2 = 1").select("feed", "at", "old", "new")
 
-    log = (
-        retyped.select("feed", "at", F.col("field").alias("field_name"), F.lit("type_changed").alias("drift_kind"), F.concat_ws(" to ", "old_type", "type").alias("detail"))
-        .union(renamed.select("feed", "at", "new", F.lit("renamed"), F.concat(F.lit("was "), F.col("old"))))
-        .union(comes.join(renamed.select("feed", "at", "new"), ["feed", "at", "new"], "left_anti").select("feed", "at", "new", F.lit("added"), F.col("kind")))
-        .union(goes.join(renamed.select("feed", "at", "old"), ["feed", "at", "old"], "left_anti").select("feed", "at", "old", F.lit("removed"), F.col("kind")))
-    )
-    return log.join(placed, ["feed", "at"]).select("feed", F.col("file_no").cast("bigint").alias("file_no"), "field_name", "drift_kind", "detail")
+
+def changes(records: DataFrame) -> DataFrame:
+    """(feed, file_no, field_name, drift_kind, detail)."""
+    once = cut(delivered_once(records))
+    files = cut(placed_files(once))
+    fields = cut(catalogue(exploded(once)).join(files, ["feed", "file_no"]))
+    events = cut(turns(lifespans(fields)))
+    renamed = cut(renamings(once, files, fields, events))
+    mark = lambda field, what, was: F.struct(field.alias("field"), F.lit(what).alias("what"), was.alias("was"))
+    marks = renamed.select("feed", "at", F.explode(F.array(mark(F.col("old"), "ending", F.lit("")), mark(F.col("new"), "start", F.col("old")))).alias("m")).select("feed", "at", "m.*")
+    # of a renaming the start stays, under its new name, and the ending goes
+    log = events.join(marks, ["feed", "at", "field", "what"], "left").where("was IS NULL OR was <> ''")
+    kind = F.when(F.col("was").isNotNull(), "renamed").when(F.col("what") == "start", "added").when(F.col("what") == "ending", "removed").otherwise(F.col("what"))
+    detail = F.when(F.col("was").isNotNull(), F.concat(F.lit("was "), F.col("was"))).otherwise(F.col("detail"))
+    out = log.select("feed", "at", F.col("field").alias("field_name"), kind.alias("drift_kind"), detail.alias("detail"))
+    return out.join(files.drop("files"), ["feed", "at"]).select("feed", F.col("file_no").cast("bigint").alias("file_no"), "field_name", "drift_kind", "detail")
+
+
+def learned_aliases(log: DataFrame, aliases: dict[str, tuple[str, tuple[str, ...]]] = ALIASES) -> dict[str, tuple[str, tuple[str, ...]]]:
+    """The alias table with every key that renamings of the change log lead to; a key stays with the field that has it first.
+
+    What comes to the driver is one row per pair of field names that replaced one another in any feed.
+    """
+    pairs = sorted((r["detail"][len("was ") :], r["field_name"]) for r in log.where("drift_kind = 'renamed'").select("field_name", "detail").distinct().toLocalIterator())
+    owner = {k: name for name, (_, keys) in aliases.items() for k in keys}
+    grown = True
+    while grown:
+        grown = False
+        for a, b in pairs:
+            for x, y in ((a, b), (b, a)):
+                if x in owner and y not in owner:
+                    owner[y], grown = owner[x], True
+    return {name: (kind, (*keys, *sorted(k for k, n in owner.items() if n == name and k not in keys))) for name, (kind, keys) in aliases.items()}
 
 
 def consistent(records: DataFrame, aliases: dict[str, tuple[str, tuple[str, ...]]] = ALIASES) -> DataFrame:

@@ -18,12 +18,16 @@ LENGTHS = (8, 16, 32, 64, 128)
 BROAD_OVER, LOW_SPECIFICITY, COMPLEX_OVER = 5, 0.1, 50
 
 
-def random_strings(spark: SparkSession, count: int = RANDOM_STRINGS, seed: int = 42) -> DataFrame:
-    """(entry_id, text): seeded strings of letters, digits, punctuation and blanks."""
+def random_rows(count: int = RANDOM_STRINGS, seed: int = 42) -> list[tuple[int, str]]:
+    """Seeded strings of letters, digits, punctuation and blanks."""
     rng = random.Random(seed)
     alphabet = string.ascii_letters + string.digits + string.punctuation + " "
-    rows = [(i, "".join(rng.choices(alphabet, k=rng.choice(LENGTHS)))) for i in range(count)]
-    return spark.createDataFrame(rows, "entry_id bigint, text string")
+    return [(i, "".join(rng.choices(alphabet, k=rng.choice(LENGTHS)))) for i in range(count)]
+
+
+def random_strings(spark: SparkSession, count: int = RANDOM_STRINGS, seed: int = 42) -> DataFrame:
+    """(entry_id, text) of :func:`random_rows`."""
+    return spark.createDataFrame(random_rows(count, seed), "entry_id bigint, text string")
 
 
 def specificity(rules: DataFrame, strings: DataFrame) -> DataFrame:

@@ -1,5 +1,32 @@
 """SQL that gives the same rows as the core queries, for DuckDB over the same tables."""
 
+import random
+
+from rulesieve.operators import generate, quality
+
+#: (name, pattern, priority) of the rules of ``literal_scan``: equal, narrower, wider and unrelated languages.
+SCAN_RULES = (
+    ("hex_lower", "[0-9a-f]{32}", 10), ("hex_same", "[a-f0-9]{32}", 20), ("hex_any", "[0-9a-fA-F]{16,40}", 10), ("alnum", "[a-zA-Z0-9]{12,64}", 30),
+    ("aws_like", "AKIA[A-Z0-9]{16}", 10), ("digits", "[0-9]{6,12}", 10), ("year", "(?:19|20)[0-9]{2}", 10), ("mail", "[a-z]{3,8}@[a-z]{3,8}[.]example", 10),
+)
+SCAN_SAMPLES = 20
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _scan_rows() -> tuple[str, str]:
+    """The rules and their strings as SQL literals."""
+    rules = ", ".join(f"({i}, {_text(n)}, {_text(p)}, {q})" for i, (n, p, q) in enumerate(SCAN_RULES))
+    settings = generate.Settings(samples=SCAN_SAMPLES)
+    made = [(i, t) for i, (n, p, _) in enumerate(SCAN_RULES) for t in generate.positives(p, random.Random(generate.seed_of(n, settings.seed)), settings)]
+    return rules, ", ".join(f"({k}, {i}, {_text(t)})" for k, (i, t) in enumerate(made))
+
+
+_RULE_ROWS, _STRING_ROWS = _scan_rows()
+_RANDOM = ", ".join(f"({i}, {_text(t)})" for i, t in quality.random_rows())
+
 _E = "e AS (SELECT entry_id, arg_max(struct_pack(text := text, label := label, source := source), ingested_at) AS r FROM entries GROUP BY entry_id)"
 _H = "h AS (SELECT DISTINCT entry_id, rule_id FROM rule_hits WHERE entry_id IS NOT NULL AND rule_id IS NOT NULL)"
 _M = f"{_H}, m AS (SELECT a.rule_id, b.rule_id AS source_rule_id, count(*) AS cnt FROM h a JOIN h b USING (entry_id) GROUP BY ALL), s AS (SELECT rule_id, count(*) AS n FROM h GROUP BY rule_id)"
@@ -27,6 +54,14 @@ y AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0::DOUBLE END A
 m AS (SELECT rule_id, name, matched_count, tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0::DOUBLE END, 4) AS f1 FROM y) """
 _PAIRED = f"WITH {_H}, n AS (SELECT DISTINCT entry_id, name FROM h JOIN base_rules USING (rule_id)) SELECT a.name AS rule_a, b.name AS rule_b, count(*) AS count FROM n a JOIN n b ON a.entry_id = b.entry_id AND a.name < b.name GROUP BY ALL"
 
+_Q = f"""{_M}, t(i, text) AS (VALUES {_RANDOM}),
+y AS (SELECT b.rule_id, count(*) AS n FROM base_rules b JOIN t ON regexp_matches(t.text, b.pattern) GROUP BY 1),
+f AS (SELECT rule_id, sum(cnt)::BIGINT AS fp, count(*) AS others FROM m WHERE rule_id <> source_rule_id AND source_rule_id IN (SELECT rule_id FROM base_rules) GROUP BY 1),
+g AS (SELECT source_rule_id AS rule_id, max(cnt) AS most FROM m WHERE rule_id <> source_rule_id GROUP BY 1),
+u AS (SELECT b.rule_id, b.name, b.source, round(1 - coalesce(y.n, 0) / 200, 4) AS specificity, coalesce(fp, 0) AS fp_potential, greatest(0, coalesce(s.n, 0) - coalesce(most, 0)) AS unique_coverage, coalesce(others, 0) AS overlap_count, coalesce(s.n, 0) AS size
+  FROM base_rules b LEFT JOIN y USING (rule_id) LEFT JOIN f USING (rule_id) LEFT JOIN g USING (rule_id) LEFT JOIN s USING (rule_id)),
+q AS (SELECT *, overlap_count > 5 AS is_broad, specificity < 0.1 AS is_low_specificity, unique_coverage = 0 AND size > 0 AS is_redundant FROM u)"""
+
 ORACLES: dict[str, str] = {
     "rule_match_counts": _COUNTS,
     "rule_match_counts_native": _COUNTS,
@@ -114,4 +149,21 @@ x AS (SELECT feed, i, field AS field_name, 'type_changed' AS drift_kind FROM a W
   UNION ALL SELECT feed, i, field, 'added' FROM a WHERE old IS NULL AND NOT EXISTS (SELECT 1 FROM q WHERE r1 = 1 AND r2 = 1 AND q.feed = a.feed AND q.i = a.i AND come = field)
   UNION ALL SELECT feed, i, field, 'removed' FROM g WHERE NOT EXISTS (SELECT 1 FROM q WHERE r1 = 1 AND r2 = 1 AND q.feed = g.feed AND q.i = g.i AND gone = field))
 SELECT x.feed, f.file_no::BIGINT AS file_no, field_name, drift_kind FROM x JOIN f ON f.feed = x.feed AND f.i = x.i""",
+    "rule_quality": f"""WITH {_Q} SELECT rule_id, name, source, specificity, fp_potential, unique_coverage, overlap_count, is_broad, is_low_specificity, is_redundant FROM q""",
+    "quality_summary": f"""WITH {_Q} SELECT count(*) AS rules, count(*) FILTER (is_broad) AS broad_patterns, count(*) FILTER (is_low_specificity) AS low_specificity, count(*) FILTER (is_redundant) AS fully_redundant,
+  round(coalesce(avg(specificity), 0.0), 3) AS avg_specificity FROM q""",
+    "literal_scan": f"""WITH r(rule_id, name, pattern, pri) AS (VALUES {_RULE_ROWS}), s(k, src, text) AS (VALUES {_STRING_ROWS}),
+m AS (SELECT r.rule_id, s.src, count(*) AS cnt FROM r JOIN s ON regexp_matches(s.text, r.pattern) GROUP BY ALL),
+z AS (SELECT src AS rule_id, count(*) AS n FROM s GROUP BY 1),
+w AS (SELECT rule_id, count(*) AS n FROM m WHERE rule_id <> src GROUP BY 1),
+p AS (SELECT a.name AS rule_a, b.name AS rule_b, coalesce(ab.cnt, 0) AS ab, coalesce(ba.cnt, 0) AS ba, za.n AS na, zb.n AS nb, a.pri AS pa, b.pri AS pb, coalesce(wa.n, 0) > 5 AS wide_a, coalesce(wb.n, 0) > 5 AS wide_b
+  FROM r a JOIN r b ON a.rule_id < b.rule_id JOIN z za ON za.rule_id = a.rule_id JOIN z zb ON zb.rule_id = b.rule_id
+  LEFT JOIN m ab ON ab.rule_id = a.rule_id AND ab.src = b.rule_id LEFT JOIN m ba ON ba.rule_id = b.rule_id AND ba.src = a.rule_id
+  LEFT JOIN w wa ON wa.rule_id = a.rule_id LEFT JOIN w wb ON wb.rule_id = b.rule_id),
+c AS (SELECT *, ab / nb AS x, ba / na AS y, least(ab, ba) / (na + nb - least(ab, ba)) AS j FROM p),
+d AS (SELECT *, CASE WHEN x >= 0.8 AND y >= 0.8 THEN 'duplicate' WHEN x >= 0.8 THEN 'subset' WHEN y >= 0.8 THEN 'superset' WHEN x >= 0.2 OR y >= 0.2 THEN 'overlap' END AS relationship FROM c),
+e AS (SELECT *, CASE relationship WHEN 'duplicate' THEN CASE WHEN pa > pb THEN 'keep_a' WHEN pb > pa THEN 'keep_b' ELSE 'review' END
+  WHEN 'subset' THEN CASE WHEN pb > pa OR wide_a THEN 'keep_both' ELSE 'keep_a' END WHEN 'superset' THEN CASE WHEN pa > pb OR wide_b THEN 'keep_both' ELSE 'keep_b' END ELSE 'review' END AS recommendation FROM d WHERE relationship IS NOT NULL)
+SELECT rule_a, rule_b, ab AS a_matches_b_corpus, ba AS b_matches_a_corpus, na AS a_corpus_size, nb AS b_corpus_size, round(x, 4) AS overlap_a_to_b, round(y, 4) AS overlap_b_to_a, round(j, 4) AS jaccard, relationship, recommendation,
+  (relationship = 'subset' AND recommendation = 'keep_a') OR (relationship = 'superset' AND recommendation = 'keep_b') AS downstream_label_loss FROM e""",
 }

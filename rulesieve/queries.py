@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rulesieve.functions.stats import interval_width, is_confident, samples_needed, wilson
 from rulesieve.operators import badrows, classify, cluster, drift, evaluate, generate, matrix, quality
 from rulesieve.operators.match import match
-from rulesieve.oracles import ORACLES  # noqa: F401
+from rulesieve.oracles import ORACLES, SCAN_RULES, SCAN_SAMPLES  # noqa: F401
 from rulesieve.plans.analyze import hits_of_corpus
 from rulesieve.session import cut, table
 from rulesieve.sources.corpus import first_seen
@@ -33,7 +33,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
-    return drift.consistent(table(spark, d, "rule_file_records"))
+    """One table of all files under the canonical fields, keys that replaced one another read as one field."""
+    records = table(spark, d, "rule_file_records")
+    return drift.consistent(records, drift.learned_aliases(drift.changes(records)))
 
 
 def _rules(spark: SparkSession, d: str) -> DataFrame:
@@ -202,12 +204,26 @@ def complexity(spark: SparkSession, d: str) -> DataFrame:
     return quality.complexities(_rules(spark, d))
 
 
-def rule_quality(spark: SparkSession, d: str) -> DataFrame:
+def _quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality(_rules(spark, d), cut(_cells(spark, d)), matrix.entry_sizes(_hits(spark, d)), quality.random_strings(spark))
 
 
+def rule_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Quality of the base rules; complexity, which SQL cannot count, is a query of its own."""
+    return _quality(spark, d).select("rule_id", "name", "source", "specificity", "fp_potential", "unique_coverage", "overlap_count", "is_broad", "is_low_specificity", "is_redundant")
+
+
 def quality_summary(spark: SparkSession, d: str) -> DataFrame:
-    return quality.summary(rule_quality(spark, d))
+    return quality.summary(_quality(spark, d)).drop("avg_complexity")
+
+
+def literal_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Scan from end to end, strings made from eight fixed rules: match, matrix, pairs, classes. The SQL holds the strings as literals."""
+    rules = spark.createDataFrame([(i, n, p, "fixed", priority, None) for i, (n, p, priority) in enumerate(SCAN_RULES)], "rule_id int, name string, pattern string, source string, priority int, catch_all boolean")
+    corpus = generate.generate(rules, generate.Settings(samples=SCAN_SAMPLES))
+    cells = cut(matrix.matrix_of_corpus(hits_of_corpus(corpus, rules), corpus))
+    pairs = classify.classify(classify.pair_ratios(cells, matrix.corpus_sizes(corpus)), rules, matrix.overlap_counts(cells, rules))
+    return pairs.select("rule_a", "rule_b", "a_matches_b_corpus", "b_matches_a_corpus", "a_corpus_size", "b_corpus_size", "overlap_a_to_b", "overlap_b_to_a", "jaccard", "relationship", "recommendation", "downstream_label_loss")
 
 
 def synthetic_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -227,6 +243,6 @@ QUERIES: dict[str, Query] = {
         rule_match_counts, rule_match_counts_native, partitioned_match_counts, never_firing_rules, match_matrix, corpus_sizes, overlap_counts, fp_potential,
         unique_coverage, exact_unique, pair_overlap, pair_classification, pair_totals, wilson_ci, clusters, co_firing, co_firing_top, labeled_metrics, labeled_summary,
         coverage_drift, report_totals, matrix_rollup, diversity_ratio, first_seen_lines, event_rules, hits_by_window, complexity, rule_quality, quality_summary,
-        synthetic_scan, p2_found, p2_loaded, p6_found, p6_table,
+        synthetic_scan, literal_scan, p2_found, p2_loaded, p6_found, p6_table,
     )
 }

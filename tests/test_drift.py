@@ -2,7 +2,7 @@
 
 import json
 
-from rulesieve.operators.drift import changes, consistent
+from rulesieve.operators.drift import changes, consistent, learned_aliases
 
 
 def frame(spark, rows):
@@ -40,9 +40,21 @@ def test_redelivery_counts_once(spark):
     assert log(many) == []
 
 
+def test_renamings_need_no_known_names(spark):
+    """Identity comes from the values: neither the key of the rule's name nor the fields are in any list, and an id field arrives."""
+    rules = [(f"r{i}", f"p{i}x", ["high", "low"][i % 2]) for i in range(8)]
+    rows = [("f", 1, {"zorp": n, "blat": p, "grade": g}) for n, p, g in rules]
+    rows += [("f", 2, {"zarp": n, "blat": p, "stufe": g, "uid": f"u{n}"}) for n, p, g in reversed(rules)]
+    assert log(frame(spark, rows)) == [("f", 2, "stufe", "renamed"), ("f", 2, "uid", "added"), ("f", 2, "zarp", "renamed")]
+
+
 def test_consistent_table(spark):
-    rows = [("f", 1, {"name": "a", "severity": "high", "entropy": "2.5", "tags": ["t"], "enabled": "true"}), ("f", 2, {"ruleName": "a", "level": {"value": "high"}, "min_entropy": 2.5, "topics": "t", "is_on": True, "expr": ["p"], "msg": {"en": "m"}, "rank": "no"})]
-    got = consistent(frame(spark, rows)).orderBy("file_no").collect()
-    for r in got:
-        assert (r["name"], r["severity"], r["entropy"], r["tags"], r["enabled"]) == ("a", "high", 2.5, ["t"], True)
-    assert (got[1]["pattern"], got[1]["description"], got[1]["priority"], got[0]["pattern"]) == ("p", "m", None, None)
+    rows = [("f", 1, {"name": f"a{i}", "severity": ["high", "low"][i % 2], "entropy": str(i + 0.5), "tags": ["t"], "enabled": "true", "expr": "q"}) for i in range(4)]
+    rows += [("f", 2, {"rName": f"a{i}", "grade": ["high", "low"][i % 2], "min_ent": str(i + 0.5), "tags": "t", "enabled": True, "pattern": [f"p{i}"], "description": {"en": "m"}, "priority": "no"}) for i in range(4)]
+    df = frame(spark, rows)
+    learned = learned_aliases(changes(df))
+    assert "rName" in learned["name"][1] and "grade" in learned["severity"][1] and "min_ent" in learned["entropy"][1]
+    got = consistent(df, learned).orderBy("file_no", "record").collect()
+    for k, r in enumerate(got):
+        assert (r["name"], r["severity"], r["entropy"], r["tags"], r["enabled"]) == (f"a{k % 4}", ["high", "low"][k % 2], k % 4 + 0.5, ["t"], True)
+    assert (got[4]["pattern"], got[4]["description"], got[4]["priority"], got[0]["pattern"]) == ("p0", "m", None, None)
