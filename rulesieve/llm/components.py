@@ -1,20 +1,26 @@
 """Consolidating pairwise matches into groups: connected components by graph reduction.
 
-While vertices of degree one or two exist, an independent set of them (local maxima of a random
-priority among low-degree neighbours) is removed: a leaf hangs itself on its neighbour, a chain
-vertex is spliced out and its two neighbours are joined, which is list ranking by independent-set
-removal: a chain of length n is gone after O(log n) rounds. The core left over (degree three and
-more) is solved by alternating large-star and small-star steps. Labels then go back through the
-removed layers in reverse.
+While enough vertices of degree one or two are left, an independent set of them (local maxima of a
+random priority among low-degree neighbours) is removed: a leaf hangs itself on its neighbour, a
+chain vertex is spliced out and its two neighbours are joined, which is list ranking by
+independent-set removal: a chain of length n is gone after O(log n) rounds. What is left, the core,
+is solved by alternating large-star and small-star steps. Every removed vertex points to a neighbour
+that was removed later or not at all, so pointer jumping gives all of them their labels in as many
+rounds as the layers' number has binary digits.
+
+One checkpoint a round, which holds the edges left and the vertices removed. No list of links or
+components reaches the driver: only counts do. Hot vertices, those with more than a ``1 / MOST_HOT``
+share of all edges, of which there are at most ``MOST_HOT``, meet what belongs to them by a broadcast
+of that bounded size; only the others are shuffled by vertex.
 
 Defined results: null ends, blank names and self links are ignored; pairs may repeat and turn
-round; names are trimmed; an empty table gives an empty result. No list of links or components
-reaches the driver: only counts do. Hot vertices are met with partial aggregates (min, count) and
-with AQE-splittable joins.
+round; names are trimmed; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,33 +44,52 @@ def _priority(column: str, turn: int):
     return F.struct(F.xxhash64(F.lit(turn), F.col(column)), F.col(column))
 
 
-def _peel(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """(removed vertices with their two neighbours, independent set of degree <= 2; edges left)."""
-    ends = edges.groupBy("u").agg(F.count("*").alias("d"), F.min("v").alias("a"), F.max("v").alias("b")).where("d <= 2")
-    ends = cut(ends)
-    near = ends.select("u", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("near"))
-    rival = near.join(ends.select(F.col("u").alias("near")), "near").groupBy("u").agg(F.max(_priority("near", turn)).alias("rival"))
-    gone = ends.join(rival, "u", "left").where(F.col("rival").isNull() | (_priority("u", turn) > F.col("rival"))).select("u", "a", "b")
-    return cut(gone), ends
+#: Vertices that may be hot at once, and the edges a vertex has at least to be one.
+MOST_HOT, HOT_EDGES = 1000, 100_000
+#: Rounds of peeling go on while they remove a vertex for every so many directed edges.
+WORTHWHILE = 20
+
 
+def _hot(degrees: DataFrame, total: int, least: int) -> DataFrame | None:
+    """(u,) of the vertices with over ``total / MOST_HOT`` and at least ``least`` of the directed edges; None where there can be none."""
+    return degrees.where(F.col("d") > max(least, total // MOST_HOT)).select("u") if total > least else None
 
-def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
-    kept = edges.join(gone.select("u"), "u", "left_anti").join(gone.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v")
-    joined = gone.where("a <> b")
-    spliced = joined.select(F.col("a").alias("u"), F.col("b").alias("v")).union(joined.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    return cut(kept.union(spliced).distinct())
 
+def _met(left: DataFrame, right: DataFrame, key: str, how: str, hot: DataFrame | None) -> DataFrame:
+    """``left.join(right, key, how)`` for a right side with at most one row a key; hot keys meet by broadcast."""
+    if hot is None:
+        return left.join(right, key, how)
+    few = F.broadcast(hot.withColumnRenamed("u", key))
+    cold = left.join(few, key, "left_anti").join(right, key, how)
+    return cold.unionByName(left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how))
+
+
+def _peeled(edges: DataFrame, total: int, turn: int, hot_edges: int) -> DataFrame:
+    """(u, v, b, gone): the edges left (gone false), and the removed vertices u with their neighbours v and b."""
+    degrees = edges.groupBy("u").agg(F.count("*").alias("d"), F.min("v").alias("a"), F.max("v").alias("b"))
+    hot = _hot(degrees, total, hot_edges)
+    ends = degrees.where("d <= 2")
+    near = ends.select("u", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("near"))
+    # a neighbour of low degree is a rival; a hot one never is
+    rival = _met(near, ends.select(F.col("u").alias("near"), F.lit(True).alias("low")), "near", "left", hot)
+    gone = rival.groupBy("u", "a", "b").agg(F.max(F.when(F.col("low"), _priority("near", turn))).alias("rival")).where(F.col("rival").isNull() | (_priority("u", turn) > F.col("rival"))).select("u", "a", "b")
+    kept = _met(_met(edges, gone.select("u"), "u", "left_anti", hot), gone.select(F.col("u").alias("v")), "v", "left_anti", hot).select("u", "v")
+    joined = gone.where("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
+    left = kept.union(joined).distinct()
+    return cut(left.select("u", "v", F.lit(None).cast("string").alias("b"), F.lit(False).alias("gone")).union(gone.select("u", F.col("a").alias("v"), "b", F.lit(True))))
 
-def _core_labels(edges: DataFrame, most: int) -> DataFrame:
+
+def _core_labels(edges: DataFrame, total: int, most: int, hot_edges: int) -> DataFrame:
     """(u, label) of every vertex of the core: large-star and small-star until the edges are stars."""
     e = edges.where("v < u").select("u", "v")
     before = None
     for _ in range(most):
         two = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = two.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = cut(two.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = two.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("d"))
+        met = _met(two, low.select("u", "m"), "u", "inner", _hot(low, total, hot_edges))
+        large = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+        small = _met(large, low.select("u", "m"), "u", "inner", _hot(low, total, hot_edges))
         e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
@@ -76,23 +101,41 @@ def _core_labels(edges: DataFrame, most: int) -> DataFrame:
     return labels.union(e.select(F.col("v").alias("u"), F.col("v").alias("label"))).distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def _pointed(to: DataFrame, total: int, least: int) -> DataFrame | None:
+    """The hot ones of the vertices pointed to."""
+    return _hot(to.groupBy(F.col("to").alias("u")).agg(F.count("*").alias("d")), total, least)
+
+
+def components(edges: DataFrame, most: int = 60, hot_edges: int = HOT_EDGES) -> DataFrame:
     """(name, group_name) of every vertex with a neighbour; group_name is the smallest member."""
     left = cut(both_ways(edges))
-    layers: list[DataFrame] = []
+    total = left.count()
+    removed: list[DataFrame] = []
+    pointers = 0
     for turn in range(most):
-        gone, _ = _peel(left, turn)
-        if gone.isEmpty():
+        if not total:
             break
-        layers.append(gone)
-        left = _without(left, gone)
-    core = _core_labels(left, most) if not left.isEmpty() else left.select("u", F.col("v").alias("label"))
-    # a vertex whose last neighbour went with it keeps itself as label
-    labels = cut(core)
-    for gone in reversed(layers):
-        found = gone.select("u", "a").join(labels.select(F.col("u").alias("a"), "label"), "a", "left")
-        back = found.select("u", F.coalesce("label", "a").alias("label"))
-        alone = found.where("label IS NULL").select(F.col("a").alias("u"), F.col("a").alias("label"))
-        labels = cut(labels.union(back).union(alone).distinct())
+        state = _peeled(left, total, turn, hot_edges)
+        counts = {r["gone"]: r["count"] for r in state.groupBy("gone").count().collect()}
+        left = state.where("NOT gone").select("u", "v")
+        removed.append(state.where("gone").select("u", F.col("v").alias("to")))
+        pointers += counts.get(True, 0)
+        if counts.get(True, 0) * WORTHWHILE < total:
+            break
+        total = counts.get(False, 0)
+    else:
+        raise RuntimeError(f"vertices of low degree were left after {most} rounds")
+    labels = _core_labels(left, total, most, hot_edges) if not left.isEmpty() else left.select("u", F.col("v").alias("label"))
+    if removed:
+        # who is pointed to and points nowhere is of the core, or the last of its group
+        to = cut(reduce(DataFrame.union, removed))
+        for _ in range(len(removed).bit_length()):
+            there = to.select(F.col("u").alias("to"), F.col("to").alias("next"))
+            to = cut(_met(to, there, "to", "left", _pointed(to, pointers, hot_edges)).select("u", F.coalesce("next", "to").alias("to")))
+        known = labels.select(F.col("u").alias("to"), "label")
+        ends = to.select("to").distinct().join(known, "to", "left").select("to", F.coalesce("label", "to").alias("label"))
+        hung = _met(to, ends, "to", "inner", _pointed(to, pointers, hot_edges)).select("u", "label")
+        labels = labels.union(ends.select(F.col("to").alias("u"), "label")).union(hung).distinct()
+    labels = cut(labels)
     small = labels.groupBy("label").agg(F.min("u").alias("group_name"))
     return labels.join(small, "label").select(F.col("u").alias("name"), "group_name").distinct()

@@ -43,10 +43,11 @@ def links(kind):
 
 
 @pytest.mark.parametrize("kind", ["chain", "star", "core", "forest", "rings", "odd"])
-def test_against_union_find(spark, kind):
+@pytest.mark.parametrize("hot_edges", [components.HOT_EDGES, 5])
+def test_against_union_find(spark, kind, hot_edges):
     edges = links(kind)
     df = spark.createDataFrame([(a, b, "c", "x") for a, b in edges], "u string, v string, label string, a string")
-    got = [tuple(r) for r in components.components(df).collect()]
+    got = [tuple(r) for r in components.components(df, hot_edges=hot_edges).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(edges)
 
 
