@@ -8,9 +8,10 @@ verified exactly. A window with more words outside the items' vocabulary than ed
 match nothing and is not embedded; nor is, with edits, one that holds no run of the items' as long
 as k edits must leave whole in n words, (n - k) / (k + 1) rounded up.
 
-The items are a stated query set: they are held by every task in blocks of a bounded number of
-windows, and every document meets every block. Documents are read once per block, in place; only
-(document, item) matches are shuffled.
+The items are a stated query set. As long as their windows are no more than one block, whose number
+is measured first, every task holds their index, documents are read once and in place, and only
+(document, item) matches are shuffled. More items than that are held nowhere: the LSH keys of both
+sides are joined by a shuffle, and every pair that shares a key is verified on the texts.
 
 Defined results: null, empty and short texts match nothing; null ids are kept as ids of their own
 only for documents; repeated rows count once; empty tables give an empty result.
@@ -27,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from rulesieve.session import spread
 
@@ -184,20 +186,99 @@ class ItemIndex:
                     found.update(zip(owner[at[i[ok]]].tolist(), self.owner[k[ok]].tolist()))
 
 
+def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit word hashes of all texts, number of words of each)."""
+    seen: dict[str, int] = {}
+    told = [words(t) for t in texts]
+    for w in chain.from_iterable(told):
+        if w not in seen:
+            seen[w] = xxh3_64_intdigest(w) >> 1
+    size = np.array([len(w) for w in told], np.int64)
+    return np.fromiter(map(seen.__getitem__, chain.from_iterable(told)), np.int64, int(size.sum())), size
+
+
+def lsh_keys(texts: list[str], lengths: list[int], width: int, turns: int, coordinates: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of the text, key) of the windows of every length, turn by turn; each once a text."""
+    ids, size = _hashed(texts)
+    owner = np.repeat(np.arange(len(texts)), size)
+    for length in lengths:
+        starts = np.flatnonzero(owner[: max(0, len(ids) - length + 1)] == owner[length - 1 :]) if len(ids) >= length else np.zeros(0, np.int64)
+        for lo in range(0, len(starts), 100_000):
+            at = starts[lo : lo + 100_000]
+            windows = np.pad(ids[at[:, None] + np.arange(length)], ((0, 0), (0, width - length)), constant_values=-2)
+            for t in range(turns):
+                key = _mix(sample(cgk(windows, t), t, coordinates) + np.uint64(t)).view(np.int64)
+                both = np.unique(np.stack([owner[at], key]), axis=1)
+                yield both[0], both[1]
+
+
+def holds(doc: list[str], item: list[str], n: int, edits: int) -> bool:
+    """Whether the document has words within ``edits`` word edits of ``n`` consecutive words of the item; exact."""
+    numbers = Vocabulary()
+    b = np.array([numbers.setdefault(w, len(numbers)) for w in item], np.int32)
+    a = np.fromiter(map(numbers.__getitem__, doc), np.int32, len(doc))
+    if len(b) < n:
+        return False
+    own = np.lib.stride_tricks.sliding_window_view(b, n)
+    run = max(1, ceil((n - edits) / (edits + 1)))
+    known = runs(np.ascontiguousarray(own), run)
+    for length in range(max(1, n - edits), min(n + edits, len(a)) + 1):
+        windows = np.lib.stride_tricks.sliding_window_view(a, length)
+        # k edits leave a run of words whole: only windows that hold one of an item's window meet it
+        inside = runs(np.ascontiguousarray(windows), min(run, length))
+        for k in np.flatnonzero(np.isin(inside, known).any(axis=1)):
+            near = own[np.isin(known, inside[k]).any(axis=1)]
+            if len(near) and within(np.repeat(windows[k][None], len(near), 0), near, edits).any():
+                return True
+    return False
+
+
+def _joined(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, n: int, edits: int, coordinates: int, recall: float) -> DataFrame:
+    """(d, i): the LSH keys of both sides joined, every pair that meets verified on its texts."""
+    coordinates = min(coordinates, 3 * n)
+    turns = repeats(n, edits, coordinates, recall)
+
+    def keyed(lengths: list[int]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                lo = chars = 0
+                for hi, t in enumerate(texts, 1):
+                    chars += len(t)
+                    if chars >= CHARS_PER_CHUNK or hi == len(texts):
+                        for row, key in lsh_keys(texts[lo:hi], lengths, n + edits, turns, coordinates):
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + lo)), pa.array(key)], ["row", "key"])
+                        lo, chars = hi, 0
+
+        return run
+
+    # a row is known by a hash of its id and text, so that null ids and repeated ids keep apart
+    named = lambda df, own, name: df.select(F.col(own).alias(name), F.col(text).alias(f"{name}_text")).where(F.col(text).isNotNull()).distinct().withColumn(f"{name}_row", F.xxhash64(name, f"{name}_text"))
+    left, right = named(docs, doc_id, "d"), named(items, item_id, "i")
+    shapes = list(range(max(1, n - edits), n + edits + 1))
+    of = lambda df, name, lengths: df.select(f"{name}_row", f"{name}_text").mapInArrow(keyed(lengths), "row bigint, key bigint").withColumnRenamed("row", f"{name}_row")
+    pairs = of(left, "d", shapes).join(of(right, "i", [n]), "key").select("d_row", "i_row").distinct()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [holds(words(a), words(b), n, edits) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["d", "i"]).filter(pa.array(ok, pa.bool_()))
+
+    kinds = f"d {docs.schema[doc_id].dataType.simpleString()}, i {items.schema[item_id].dataType.simpleString()}"
+    return pairs.join(left, "d_row").join(right, "i_row").select("d", "i", "d_text", "i_text").mapInArrow(verify, kinds)
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, n: int = 13, edits: int = 0, coordinates: int = 8, recall: float = 0.99, windows_per_block: int = WINDOWS_PER_BLOCK) -> DataFrame:
     """(doc_id, item_id) of documents with consecutive words within ``edits`` word edits of ``n`` consecutive words of an item."""
     kind = {c: df.schema[c].dataType.simpleString() for df, c in ((docs, doc_id), (items, item_id))}
-    block: list[tuple[int, str]] = []
-    blocks, held = [], 0
-    for row in items.select(item_id, text).where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).distinct().toLocalIterator():
-        block.append((row[0], row[1]))
-        held += len(row[1]) // 2
-        if held >= windows_per_block:
-            blocks, block, held = [*blocks, block], [], 0
-    if block or not blocks:
-        blocks.append(block)
-
-    def of(index):
+    given = items.select(item_id, text).where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).distinct()
+    # a word has a character and something between it and the next: windows are at most half the characters
+    most = given.agg(F.sum(F.floor(F.length(text) / 2) + 1)).first()[0] or 0
+    if most > windows_per_block:
+        out = _joined(docs, given, doc_id, item_id, text, n, edits, coordinates, recall)
+    else:
+        index = docs.sparkSession.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in given.collect()], n, edits, coordinates, recall))
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -209,11 +290,5 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: st
                         lo, chars = hi, 0
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array([r for r, _ in rows], pa.int64())), pa.array([i for _, i in rows], pa.int64())], ["d", "i"])
 
-        return spread(docs.select(doc_id, text).where(F.col(text).isNotNull())).mapInArrow(run, f"d {kind[doc_id]}, i bigint")
-
-    sc = docs.sparkSession.sparkContext
-    out = None
-    for b in blocks:
-        part = of(sc.broadcast(ItemIndex(b, n, edits, coordinates, recall)))
-        out = part if out is None else out.union(part)
+        out = spread(docs.select(doc_id, text).where(F.col(text).isNotNull())).mapInArrow(run, f"d {kind[doc_id]}, i bigint")
     return out.distinct().select(F.col("d").alias(doc_id), F.col("i").cast(kind[item_id]).alias(item_id))

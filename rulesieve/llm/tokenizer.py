@@ -6,7 +6,8 @@ since the last emission and the bytes read behind it. Transitions are determinis
 a token is emitted as soon as all live readings share it, which needs no more lookahead than the
 longest vocabulary entry. A reading may append a token only where the pair (last token, token) is
 itself what merging gives for its bytes, so the transducer's output is the merge order's result.
-A bounded memo of whole pretokens stands in front of the transducer.
+A bounded memo of whole pretokens stands in front of the transducer; both are bounded in bytes and
+begin anew when full, which changes nothing in what they give.
 
 Defined results: null and empty texts give the empty list; special tokens in a text are ordinary
 text; lone surrogates cannot occur in Spark strings. One row per input row and id.
@@ -30,7 +31,8 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: The same split for texts of ASCII only, spelled without properties; white space is listed because Python's \\s has more.
 PRETOKEN_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-MEMO_ENTRIES = 400_000
+#: Bytes that the memo and the automaton of one worker may take, by estimate; whichever is full begins anew.
+MEMO_BYTES, STATE_BYTES = 96 << 20, 96 << 20
 
 
 def read_vocabulary(path: str) -> dict[bytes, int]:
@@ -41,15 +43,20 @@ def read_vocabulary(path: str) -> dict[bytes, int]:
 class Transducer:
     """Lazily determinised transducer; ``encode`` maps the bytes of one pretoken to its token ids."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], most_bytes: int = STATE_BYTES):
+        self.ranks, self.most_bytes = ranks, most_bytes
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longer = {b[:k] for b in ranks for k in range(1, len(b))}  # proper prefixes: reading on may still give a token
+        self._reset()
+
+    def _reset(self) -> None:
+        """Forgets all states found so far; what is encoded doesn't depend on them."""
         self.fits: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
         self.states: dict[tuple, int] = {}
         self.keys: list[tuple] = []
         self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self.held = 0
         # a reading: (tokens since the last emission, last emitted token or -1, bytes behind them)
         self.start = self._state(((), -1, b""),)
 
@@ -59,6 +66,7 @@ class Transducer:
             self.states[key] = len(self.keys)
             self.keys.append(key)
             self.steps.append({})
+            self.held += 300 + sum(200 + 32 * len(t) + len(w) for t, _, w in key)
         return self.states[key]
 
     def merged(self, data: bytes) -> list[int]:
@@ -78,6 +86,7 @@ class Transducer:
     def _reachable(self, token: int) -> bool:
         if token not in self.whole:
             self.whole[token] = self.merged(self.bytes_of[token]) == [token]
+            self.held += 100
         return self.whole[token]
 
     def _fit(self, a: int, b: int) -> bool:
@@ -85,6 +94,7 @@ class Transducer:
             return True
         if (a, b) not in self.fits:
             self.fits[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            self.held += 180
         return self.fits[a, b]
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -110,12 +120,20 @@ class Transducer:
         return self._state(*live), ()
 
     def encode(self, data: bytes) -> tuple[int, ...]:
+        if self.held > self.most_bytes:
+            self._reset()
         out: list[int] = []
         state, steps = self.start, self.steps
         for byte in data:
             to = steps[state].get(byte)
             if to is None:
                 to = steps[state][byte] = self._step(state, byte)
+                self.held += 250
+                if self.held > 2 * self.most_bytes:
+                    # within one very long word: carry the readings over to a new automaton
+                    key = self.keys[to[0]]
+                    self._reset()
+                    steps, to = self.steps, (self._state(*key), to[1])
             state, sure = to
             if sure:
                 out += sure
@@ -127,16 +145,21 @@ class Transducer:
 
 
 class Memo(dict):
-    """Pretoken to the bytes of its ids (little-endian 64 bit); bounded, filled by the transducer."""
+    """Pretoken to the bytes of its ids (little-endian 64 bit); bounded in bytes, filled by the transducer."""
 
     def __init__(self, machine: Transducer, most: int):
         super().__init__()
-        self.machine, self.most = machine, most
+        self.machine, self.most, self.held = machine, most, 0
 
     def __missing__(self, word: str) -> bytes:
         ids = np.array(self.machine.encode(word.encode()), "<i8").tobytes()
-        if len(self) >= self.most:
+        size = 250 + 4 * len(word) + len(ids)
+        if size > self.most // 64:
+            return ids  # too long to be kept
+        self.held += size
+        if self.held > self.most:
             self.clear()
+            self.held = size
         self[word] = ids
         return ids
 
@@ -144,10 +167,10 @@ class Memo(dict):
 class Encoder:
     """Texts to ids: pretokens, memo, transducer."""
 
-    def __init__(self, ranks: dict[bytes, int], memo_entries: int = MEMO_ENTRIES):
+    def __init__(self, ranks: dict[bytes, int], memo_bytes: int = MEMO_BYTES):
         self.machine = Transducer(ranks)
         self.split, self.split_ascii = regex.compile(PRETOKEN).findall, re.compile(PRETOKEN_ASCII).findall
-        self.memo = Memo(self.machine, memo_entries)
+        self.memo = Memo(self.machine, memo_bytes)
 
     def encode_bytes(self, text: str | None) -> bytes:
         if not text:

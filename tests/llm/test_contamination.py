@@ -98,3 +98,32 @@ def test_within_is_the_edit_distance():
         a, b = rng.integers(0, 3, (200, width)), rng.integers(0, 3, (200, 13))
         a[:120, :11] = b[:120, :11]
         assert C.within(a, b, edits).tolist() == [C.edit_distance(x, y) <= edits for x, y in zip(a, b, strict=True)]
+
+
+def test_many_items_are_joined_by_their_keys(spark):
+    """More windows than one block: no index is held anywhere; edits of each kind are found."""
+    rng = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [(i, " ".join(rng.sample(vocabulary, 16))) for i in range(60)] + [(99, None), (98, "short")]
+    docs, want = [], set()
+    for d, (i, t) in enumerate(items[:60]):
+        w, at = t.split(), 8
+        w[at : at + (d % 3 != 2)] = [] if d % 3 == 1 else ["new"]
+        docs.append((d, " ".join(rng.choices(vocabulary, k=10) + w + rng.choices(vocabulary, k=10))))
+        want.add((d, i))
+    docs += [(500, None), (None, items[3][1])]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {tuple(r) for r in C.leaks(d, i, "doc_id", "item_id", "text", edits=1, coordinates=6, recall=0.95, windows_per_block=10).collect()}
+    texts = dict(items)
+    assert all(C.holds(C.words(dict(docs)[a]), C.words(texts[b]), 13, 1) for a, b in got)
+    exact = {(a, b) for a, t in docs for b, u in items if t and u and C.holds(C.words(t), C.words(u), 13, 1)}
+    assert (None, 3) in got and len(got & exact) / len(exact) >= 0.95 and len(exact) > 20
+
+
+def test_holds_is_exact():
+    rng = random.Random(2)
+    for _ in range(60):
+        a, b = rng.choices("abc", k=rng.randrange(9)), rng.choices("abc", k=rng.randrange(4, 8))
+        for edits in (0, 1):
+            want = any(C.edit_distance(np.array(a[x:y]), np.array(b[z : z + 4])) <= edits for x in range(len(a)) for y in range(x + 1, len(a) + 1) for z in range(len(b) - 3))
+            assert C.holds(a, b, 4, edits) == want

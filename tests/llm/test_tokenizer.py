@@ -26,11 +26,24 @@ def test_equals_the_published_encoder(ranks):
     import tiktoken
 
     other = tiktoken.Encoding("o", pat_str=T.PRETOKEN, mergeable_ranks=ranks, special_tokens={})
-    encoder = T.Encoder(ranks, memo_entries=50)
+    encoder = T.Encoder(ranks, memo_bytes=5000)
     for t in texts():
         assert encoder.encode(t) == (other.encode_ordinary(t) if t else []), t
 
 
+def test_full_automata_begin_anew(ranks):
+    rng = random.Random(3)
+    wide, narrow = T.Transducer(ranks), T.Transducer(ranks, most_bytes=20_000)
+    for _ in range(150):
+        data = "".join(rng.choices("aeibcdt hnorslé漢😀ß", k=rng.randrange(1, 400))).encode()
+        assert wide.encode(data) == narrow.encode(data)
+        assert narrow.held <= 2 * 20_000 + 5_000
+    memo = T.Memo(wide, 10_000)
+    for n in range(500):
+        memo[f"word{n}"]
+        assert memo.held <= 10_000 and memo["x" * 300] and "x" * 300 not in memo
+
+
 def test_round_trip_in_pieces(ranks):
     encoder = T.Encoder(ranks)
     tokens = encoder.machine.bytes_of
