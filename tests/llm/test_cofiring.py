@@ -30,8 +30,8 @@ def test_against_brute_force(spark):
     rng = random.Random(3)
     rows = [(rng.randrange(150), min(rng.randrange(12), rng.randrange(12))) for _ in range(900)]
     rows += rows[:50] + [(None, 1), (3, None), (None, None)] + [(999, i) for i in range(12)]
-    for least, inv in ((1, 10**9), (4, 20)):
-        got = {(r["item_a"], r["item_b"]): (r["n_ab"], r["n_a"], r["n_b"], r["n"]) for r in cofiring.pair_counts(frame(spark, rows), "entry_id", "rule_id", least, inv).collect()}
+    for least, inv, held in ((1, 10**9, 2000), (1, 10**9, 3), (4, 20, 2000)):
+        got = {(r["item_a"], r["item_b"]): (r["n_ab"], r["n_a"], r["n_b"], r["n"]) for r in cofiring.pair_counts(frame(spark, rows), "entry_id", "rule_id", least, inv, basket_items=held).collect()}
         assert got == brute(rows, least, inv)
 
 
