@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from rulesieve.llm.crf import SkipChain
 from rulesieve.session import hash_sample, spread
 
-#: Rows the field is fitted on, at most.
-SAMPLE_ROWS = 6000
+#: Rows the field is fitted on, and rows the names are grown from, at most.
+SAMPLE_ROWS, NAME_ROWS = 6000, 24_000
 LABELS = ("O", "email", "phone", "id_number", "address", "B", "I")
 O, EMAIL, PHONE, ID, ADDRESS, B, I = range(7)  # noqa: E741
 KINDS = ("email", "phone", "id_number", "address", "person_name")
@@ -506,10 +506,11 @@ def varied(d: list[str], labels: list, turn: int, families: list[str]) -> tuple[
     return out, told
 
 
-def fit(rows: list[tuple[str | None, str | None]], rounds: int = 6) -> SkipChain:
-    docs = [d for d in (document(*r) for r in rows) if d]
-    names = Names(docs)
-    use = [(d, known(d, names)) for d in docs]
+def fit(rows: list[tuple[str | None, str | None]], rounds: int = 6, sample_rows: int = SAMPLE_ROWS) -> SkipChain:
+    """Names are grown from all rows, the field is fitted on the first ``sample_rows``."""
+    docs = [document(*r) for r in rows]
+    names = Names([d for d in docs if d])
+    use = [(d, known(d, names)) for d in docs[:sample_rows] if d]
     # of the documents in which nothing is found or could be, one in three suffices
     use = [(d, y) for n, (d, y) in enumerate(use) if n % 3 == 0 or any(v != O or w[0] == CANDIDATE for v, w in zip(y, d, strict=True)) or any(a[0].isupper() and b[0].isupper() for a, b in zip(d, d[1:], strict=False))]
     named, families = [(d, y) for d, y in use if B in y], sorted(names.family)
@@ -560,7 +561,8 @@ def spans(docs: list[Document], rows: list[tuple[str | None, str | None]], model
 
 
 def _fitted(entries: DataFrame, key: str, text: str, label: str, sample_rows: int):
-    return entries.sparkSession.sparkContext.broadcast(fit(hash_sample(entries.where(F.col(text).isNotNull()), key, [text, label], sample_rows)))
+    rows = hash_sample(entries.where(F.col(text).isNotNull()), key, [text, label], max(sample_rows, NAME_ROWS))
+    return entries.sparkSession.sparkContext.broadcast(fit(rows, sample_rows=sample_rows))
 
 
 def find(entries: DataFrame, key: str, text: str = "text", label: str = "label", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
