@@ -8,7 +8,8 @@ is solved by alternating large-star and small-star steps. Every removed vertex p
 that was removed later or not at all, so pointer jumping gives all of them their labels in as many
 rounds as the layers' number has binary digits.
 
-One checkpoint a round, which holds the edges left and the vertices removed. No list of links or
+Names are numbered by a 64-bit hash that is checked to give every name a number of its own; rounds
+move numbers only. Two checkpoints a round: the vertices removed and the edges left. No list of links or
 components reaches the driver: only counts do. Hot vertices, those with more than a ``1 / MOST_HOT``
 share of all edges, of which there are at most ``MOST_HOT``, meet what belongs to them by a broadcast
 of that bounded size; only the others are shuffled by vertex.
@@ -64,8 +65,8 @@ def _met(left: DataFrame, right: DataFrame, key: str, how: str, hot: DataFrame |
     return cold.unionByName(left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how))
 
 
-def _peeled(edges: DataFrame, total: int, turn: int, hot_edges: int) -> DataFrame:
-    """(u, v, b, gone): the edges left (gone false), and the removed vertices u with their neighbours v and b."""
+def _peeled(edges: DataFrame, total: int, turn: int, hot_edges: int) -> tuple[DataFrame, DataFrame]:
+    """The edges (u, v) left, and the removed vertices (u, to) with a neighbour of theirs."""
     degrees = edges.groupBy("u").agg(F.count("*").alias("d"), F.min("v").alias("a"), F.max("v").alias("b"))
     hot = _hot(degrees, total, hot_edges)
     ends = degrees.where("d <= 2")
@@ -73,10 +74,10 @@ def _peeled(edges: DataFrame, total: int, turn: int, hot_edges: int) -> DataFram
     # a neighbour of low degree is a rival; a hot one never is
     rival = _met(near, ends.select(F.col("u").alias("near"), F.lit(True).alias("low")), "near", "left", hot)
     gone = rival.groupBy("u", "a", "b").agg(F.max(F.when(F.col("low"), _priority("near", turn))).alias("rival")).where(F.col("rival").isNull() | (_priority("u", turn) > F.col("rival"))).select("u", "a", "b")
+    gone = cut(gone)
     kept = _met(_met(edges, gone.select("u"), "u", "left_anti", hot), gone.select(F.col("u").alias("v")), "v", "left_anti", hot).select("u", "v")
     joined = gone.where("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
-    left = kept.union(joined).distinct()
-    return cut(left.select("u", "v", F.lit(None).cast("string").alias("b"), F.lit(False).alias("gone")).union(gone.select("u", F.col("a").alias("v"), "b", F.lit(True))))
+    return cut(kept.union(joined).distinct()), gone.select("u", F.col("a").alias("to"))
 
 
 def _core_labels(edges: DataFrame, total: int, most: int, hot_edges: int) -> DataFrame:
@@ -101,6 +102,15 @@ def _core_labels(edges: DataFrame, total: int, most: int, hot_edges: int) -> Dat
     return labels.union(e.select(F.col("v").alias("u"), F.col("v").alias("label"))).distinct()
 
 
+def _own_seed(names: DataFrame, most: int = 8) -> int:
+    """The first seed whose hash gives every name a number of its own; one does unless there are over some 10^10 names."""
+    count = names.count()
+    for seed in range(most):
+        if names.agg(F.count_distinct(F.xxhash64(F.lit(seed), "name"))).first()[0] == count:
+            return seed
+    raise RuntimeError(f"no hash of {most} tells {count} names apart")
+
+
 def _pointed(to: DataFrame, total: int, least: int) -> DataFrame | None:
     """The hot ones of the vertices pointed to."""
     return _hot(to.groupBy(F.col("to").alias("u")).agg(F.count("*").alias("d")), total, least)
@@ -108,21 +118,25 @@ def _pointed(to: DataFrame, total: int, least: int) -> DataFrame | None:
 
 def components(edges: DataFrame, most: int = 60, hot_edges: int = HOT_EDGES) -> DataFrame:
     """(name, group_name) of every vertex with a neighbour; group_name is the smallest member."""
-    left = cut(both_ways(edges))
+    named = cut(both_ways(edges))
+    names = cut(named.select(F.col("u").alias("name")).distinct())
+    seed = _own_seed(names)
+    number = lambda c: F.xxhash64(F.lit(seed), F.col(c))
+    left = named.select(number("u").alias("u"), number("v").alias("v"))
     total = left.count()
     removed: list[DataFrame] = []
     pointers = 0
     for turn in range(most):
         if not total:
             break
-        state = _peeled(left, total, turn, hot_edges)
-        counts = {r["gone"]: r["count"] for r in state.groupBy("gone").count().collect()}
-        left = state.where("NOT gone").select("u", "v")
-        removed.append(state.where("gone").select("u", F.col("v").alias("to")))
-        pointers += counts.get(True, 0)
-        if counts.get(True, 0) * WORTHWHILE < total:
+        left, gone = _peeled(left, total, turn, hot_edges)
+        removed.append(gone)
+        went = gone.count()
+        pointers += went
+        if went * WORTHWHILE < total:
+            total = left.count()
             break
-        total = counts.get(False, 0)
+        total = left.count()
     else:
         raise RuntimeError(f"vertices of low degree were left after {most} rounds")
     labels = _core_labels(left, total, most, hot_edges) if not left.isEmpty() else left.select("u", F.col("v").alias("label"))
@@ -136,6 +150,8 @@ def components(edges: DataFrame, most: int = 60, hot_edges: int = HOT_EDGES) ->
         ends = to.select("to").distinct().join(known, "to", "left").select("to", F.coalesce("label", "to").alias("label"))
         hung = _met(to, ends, "to", "inner", _pointed(to, pointers, hot_edges)).select("u", "label")
         labels = labels.union(ends.select(F.col("to").alias("u"), "label")).union(hung).distinct()
-    labels = cut(labels)
-    small = labels.groupBy("label").agg(F.min("u").alias("group_name"))
-    return labels.join(small, "label").select(F.col("u").alias("name"), "group_name").distinct()
+    told = cut(names.withColumn("u", number("name")).join(labels, "u").select("name", "label"))
+    small = told.groupBy("label").agg(F.min("name").alias("group_name"), F.count("*").alias("d"))
+    # a label that a large share of all names has is met by broadcast
+    hot = _hot(small.select(F.col("label").alias("u"), "d"), pointers + total, hot_edges)
+    return _met(told, small.select("label", "group_name"), "label", "inner", hot).select("name", "group_name").distinct()
