@@ -62,6 +62,23 @@ u AS (SELECT b.rule_id, b.name, b.source, round(1 - coalesce(y.n, 0) / 200, 4) A
   FROM base_rules b LEFT JOIN y USING (rule_id) LEFT JOIN f USING (rule_id) LEFT JOIN g USING (rule_id) LEFT JOIN s USING (rule_id)),
 q AS (SELECT *, overlap_count > 5 AS is_broad, specificity < 0.1 AS is_low_specificity, unique_coverage = 0 AND size > 0 AS is_redundant FROM u)"""
 
+# records by regular expression; a pattern is held to compile in Python if RE2 takes it, or if it has what RE2 lacks
+_WHITE = r"[\s\pZ\x{85}\x{1c}-\x{1f}]"
+_FIELD = r'''"(?:[^"]|"")*"|[^",\r\n][^,\r\n]*|'''
+_LINE = rf"(?:{_FIELD})(?:,(?:{_FIELD}))*"
+_RAW = rf"""r AS (SELECT DISTINCT row_id, layout, raw_text AS t FROM raw_rows WHERE NOT regexp_full_match(raw_text, '(?s){_WHITE}*') AND (layout = 'entries_jsonl' OR line_no IS DISTINCT FROM 1)),
+c AS (SELECT row_id, layout, t, regexp_full_match(t, '{_LINE}(?:(?:\r\n|\n|\r){_LINE})*') AS ok, regexp_full_match(t, '{_LINE}') AS one,
+    list_transform(regexp_extract_all(',' || t, ',("(?:[^"]|"")*"|[^",][^,]*|)', 1), lambda f: CASE WHEN f[1:1] = '"' THEN replace(f[2:-2], '""', '"') ELSE f END) AS f FROM r WHERE layout <> 'entries_jsonl'),
+v AS (SELECT row_id, layout, ok, one, len(f) AS n, f, list_transform(f, lambda x: regexp_replace(x, '(?s)^{_WHITE}+|{_WHITE}+$', '', 'g')) AS s FROM c),
+j AS (SELECT row_id, t, json_valid(t) AS ok, CASE WHEN json_valid(t) THEN json_type(t) END AS kind, CASE WHEN json_valid(t) THEN json_type(t, '$.text') END AS text_kind, CASE WHEN json_valid(t) THEN json_extract_string(t, '$.text') END AS text FROM r WHERE layout = 'entries_jsonl'),
+a AS (
+  SELECT row_id, CASE WHEN NOT ok THEN 'syntax' WHEN NOT one OR n <> (CASE layout WHEN 'rules_csv' THEN 6 ELSE 4 END) THEN 'columns'
+    WHEN layout = 'rules_csv' AND (s[1] = '' OR s[2] = '' OR lower(s[5]) NOT IN ('critical', 'high', 'medium', 'low', '') OR NOT regexp_full_match(s[6], '[+-]?[0-9]+|') OR (s[6] <> '' AND TRY_CAST(s[6] AS BIGINT) IS NULL)
+      OR (TRY(regexp_matches('', f[2])) IS NULL AND (NOT regexp_matches(f[2], '\(\?[=!<>]|\(\?P=|\\[1-9]') OR regexp_matches(f[2], '\(\?<[=!][^)]*[+*?{{]')))) THEN 'values'
+    WHEN layout = 'entries_csv' AND (s[1] = '' OR NOT regexp_full_match(s[4], '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') OR TRY_CAST(s[4] AS DATE) IS NULL) THEN 'values' END AS reason FROM v
+  UNION ALL
+  SELECT row_id, CASE WHEN NOT ok THEN 'syntax' WHEN kind <> 'OBJECT' OR text_kind IS NULL THEN 'columns' WHEN text_kind <> 'VARCHAR' OR regexp_full_match(text, '(?s){_WHITE}*') THEN 'values' END FROM j)"""
+
 ORACLES: dict[str, str] = {
     "rule_match_counts": _COUNTS,
     "rule_match_counts_native": _COUNTS,
@@ -166,4 +183,10 @@ e AS (SELECT *, CASE relationship WHEN 'duplicate' THEN CASE WHEN pa > pb THEN '
   WHEN 'subset' THEN CASE WHEN pb > pa OR wide_a THEN 'keep_both' ELSE 'keep_a' END WHEN 'superset' THEN CASE WHEN pa > pb OR wide_b THEN 'keep_both' ELSE 'keep_b' END ELSE 'review' END AS recommendation FROM d WHERE relationship IS NOT NULL)
 SELECT rule_a, rule_b, ab AS a_matches_b_corpus, ba AS b_matches_a_corpus, na AS a_corpus_size, nb AS b_corpus_size, round(x, 4) AS overlap_a_to_b, round(y, 4) AS overlap_b_to_a, round(j, 4) AS jaccard, relationship, recommendation,
   (relationship = 'subset' AND recommendation = 'keep_a') OR (relationship = 'superset' AND recommendation = 'keep_b') AS downstream_label_loss FROM e""",
+    "p2_found": f"WITH {_RAW} SELECT DISTINCT row_id, reason FROM a WHERE reason IS NOT NULL",
+    "p2_loaded": f"""WITH {_RAW}, good AS (SELECT row_id FROM a WHERE reason IS NULL)
+SELECT DISTINCT row_id, f[1] AS name, f[2] AS pattern, f[3] AS source, f[4] AS detector, nullif(lower(s[5]), '') AS severity, TRY_CAST(nullif(s[6], '') AS BIGINT)::VARCHAR AS priority, NULL::VARCHAR AS text, NULL::VARCHAR AS label, NULL::VARCHAR AS seen_on
+  FROM v WHERE layout = 'rules_csv' AND row_id IN (FROM good)
+UNION ALL SELECT DISTINCT row_id, NULL, NULL, f[3], NULL, NULL, NULL, f[1], f[2], s[4]::DATE::VARCHAR FROM v WHERE layout = 'entries_csv' AND row_id IN (FROM good)
+UNION ALL SELECT DISTINCT row_id, NULL, NULL, json_extract_string(t, '$.source'), NULL, NULL, NULL, text, json_extract_string(t, '$.label'), NULL FROM j WHERE row_id IN (FROM good)""",
 }

@@ -25,7 +25,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
-    return badrows.valid(badrows.load_rows(table(spark, d, "raw_rows"))).distinct()
+    """The valid rows; typed values that may be null are written out, so that any reader compares them alike."""
+    loaded = badrows.valid(badrows.load_rows(table(spark, d, "raw_rows"))).distinct()
+    return loaded.withColumns({c: F.col(c).cast("string") for c in ("priority", "seen_on")})
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
