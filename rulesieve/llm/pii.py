@@ -101,7 +101,8 @@ FORM = str.maketrans("012345678" + "bcdefghijklmnopqrstuvwxyz" + "ABCDEFGHIJKLMN
 NO_WORDS = str.maketrans("", "", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 ADDRESS_FORM = re.compile(rf"(?<!\w)(?:{_EN}|{_FR}|{_ES}|{_DE}|{_DE2})")
 #: Words, with digits in them or not, joined by hyphens or apostrophes; an elided article is a token of its own; every other sign too.
-PLAIN = re.compile(r"[ldjcmnt]['’](?=[^\W\d_])|[^\W_]+(?:['’-][^\W_]+)*|\S")
+PLAIN = re.compile(r"[ldjcmnt]['’](?=[^\W\d_])|[^\W_]+(?:['’-][^\W_]+)*|[^\s\x01-\x03]")
+#: Marks within tokens; as characters of a text they are passed over.
 CANDIDATE = "\x01"
 HIDDEN = "\x02"
 BETWEEN = "\x03"
@@ -217,7 +218,7 @@ def tokens(text: str, found: list[tuple[int, int, str]]) -> list[str]:
         glued = "" if not a or text[a - 1].isspace() else text[max(0, a - 80) : a].split()[-1].translate(NO_WORDS)[-6:]
         tail = text[b : b + 1]
         behind = tail + ("a" if text[b + 1 : b + 2].isalnum() else "") if tail and not tail.isspace() else ""
-        out[k] = CANDIDATE.join(("", kind, text[a:b], f"{glued} {behind}", left, right))
+        out[k] = CANDIDATE.join(("", kind, text[a:b], f"{glued} {behind}".replace(CANDIDATE, ""), left, right))
     return out
 
 

@@ -21,8 +21,8 @@ last shared span.
 Equal texts are folded into one before anything else.
 
 Defined results: null texts and texts shorter than the span have no row; equal texts share all
-their characters; an id given twice with one text counts as one record; empty tables give an empty
-result.
+their characters; an id given twice with one text counts as one record; a null id has no row and is
+no other record; empty tables give an empty result.
 """
 
 from __future__ import annotations

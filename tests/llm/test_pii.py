@@ -130,6 +130,12 @@ def test_tokens_and_positions_agree():
                 assert len(pii.document(x, None)) == len(at := pii.positions(x, pii.candidates(x))) and all(a < b for a, b in at)
 
 
+def test_control_characters(model):
+    text = "\x01 \x02x\x03 \x00 mail to \x01ann@example.org\x01 today"
+    assert found(model, text, "\x01\x02") == {("text", "email", "ann@example.org")}
+    assert found(model, "\x01", "\x03") == set()
+
+
 def test_a_very_long_text(model):
     text = "lorem ipsum " * 30_000 + "mail to ann@example.org" + " dolor" * 30_000
     assert {v for *_, v in found(model, text)} == {"ann@example.org"}
