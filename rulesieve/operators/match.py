@@ -171,25 +171,30 @@ def _python(strings: DataFrame, told: list[tuple], entry_key: str, text: str, ru
     return out.select(F.col("e").alias(entry_key), F.col("r").alias(rule_key))
 
 
+def _quoted(value: str) -> str:
+    """A SQL literal; dollar signs are escaped, as SQL text has variables."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
+
+
 def _native(strings: DataFrame, told: list, entry_key: str, text: str, rule_key: str, rules: DataFrame, partition) -> DataFrame:
-    """One scan for all rules; a rule's literals are looked for before its pattern is run."""
+    """One scan for all rules; a rule's literals are looked for before its pattern is run.
+
+    The tests are written as SQL text, a few hundred at a time, instead of thousands of calls into the
+    JVM. JVM forms hold neither quotes nor line ends, so they stand in raw literals.
+    """
     kind = rules.schema[rule_key].dataType.simpleString()
-    low, key = F.col("_low"), F.col("_key")
     tests = []
     for rule_id, pattern, own, jvm in told:
-        fires = F.col(text).rlike(jvm)
         literals, fold = required_literals(pattern)
-        # a case-blind pattern may take a character beyond ASCII for s, k or i
-        if literals and min(map(len, literals)) >= SHORTEST_LITERAL and len(literals) <= 4 and not (fold and any(set(x) & set("ski") for x in literals)):
-            holds = low.contains(min(literals))
-            for x in sorted(literals)[1:]:
-                holds = holds | low.contains(x)
-            fires = holds & fires
-        if own is not None:
-            fires = (key == own) & fires
-        tests.append(F.when(fires, F.lit(rule_id).cast(kind)))
-    arrays = [F.array_compact(F.array(*tests[lo : lo + TESTS_PER_ARRAY])) for lo in range(0, len(tests), TESTS_PER_ARRAY)]
-    wide = strings.withColumn("_low", F.lower(text))
-    if partition:
-        wide = wide.withColumn("_key", F.coalesce(F.nullif(F.col(partition[0]), F.lit("")), F.lit("_default")))
-    return wide.select(F.col(entry_key), F.explode(F.concat(*arrays)).alias(rule_key))
+        conditions = [] if own is None else [f"_key = {_quoted(own)}"]
+        if literals and min(map(len, literals)) >= SHORTEST_LITERAL and len(literals) <= 4:
+            holds = [f"contains(_low, {_quoted(x)})" for x in sorted(literals)]
+            # a case-blind pattern may take a character beyond ASCII for a letter
+            conditions.append(f"({' OR '.join(holds + ['_wide'] * fold)})")
+        conditions.append(f"rlike(_text, r'{jvm}')")
+        value = _quoted(rule_id) if kind == "string" else str(rule_id)
+        tests.append(f"CASE WHEN {' AND '.join(conditions)} THEN CAST({value} AS {kind}) END")
+    arrays = [f"array_compact(array({', '.join(tests[lo : lo + TESTS_PER_ARRAY])}))" for lo in range(0, len(tests), TESTS_PER_ARRAY)]
+    key = F.coalesce(F.nullif(F.col(partition[0]), F.lit("")), F.lit("_default")) if partition else F.lit(None).cast("string")
+    wide = strings.select(F.col(entry_key).alias("_entry"), F.col(text).alias("_text"), F.lower(text).alias("_low"), (F.length(text) != F.octet_length(text)).alias("_wide"), key.alias("_key"))
+    return wide.select(F.col("_entry").alias(entry_key), F.explode(F.expr(f"concat({', '.join(arrays)})")).alias(rule_key))

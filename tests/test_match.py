@@ -23,6 +23,14 @@ def test_engines_and_partitions_agree(frames, engine, parts):
     assert {tuple(x) for x in match(e.repartition(parts), r, engine=engine).collect()} == WANT
 
 
+def test_native_literals_are_quoted(spark):
+    texts = ["${env:HOME} it's", "a\\\\b's", "tab\tx", 'say "hi"', "\u212aelvin's", "none"]
+    rules = [(1, r"\$\{env:HOME\} it's"), (2, r"a\\\\b's"), (3, r"tab\tx"), (4, 'say "hi"'), (5, "(?i)kelvin's")]
+    e, r = spark.createDataFrame(list(enumerate(texts)), "entry_id bigint, text string"), spark.createDataFrame(rules, "rule_id int, pattern string")
+    got = {tuple(x) for x in match(e, r, engine="native").collect()}
+    assert got == {tuple(x) for x in match(e, r).collect()} == {(i, i + 1) for i in range(5)}
+
+
 def test_native_refuses_what_it_cannot(frames):
     e, r = frames
     with pytest.raises(ValueError):
