@@ -56,13 +56,13 @@ TITLES = frozenset("mr mrs ms mme mlle dr prof herr herrn frau don doña señor
 
 # Fixed values, used for the sample's labels only: words that tell what a number beside them is.
 PHONE_WORDS = frozenset(
-    "phone tel telephone mobile cell cellphone fax call calls caller calling called dial ring sms text hotline number telefon telefonisch handy rufnummer anrufen erreichbar ruf téléphone téléphoner appeler appelez joindre rappeler portable teléfono móvil llame llamar llámeme deputy oncall on_call".split()
+    "phone tel telephone mobile cell cellphone fax call calls caller calling called dial ring sms text hotline number telefon telefonisch handy rufnummer anrufen erreichbar ruf téléphone téléphoner appeler appelez joindre rappeler portable teléfono móvil llame llamar llámeme".split()
 )
 ID_WORDS = frozenset("ssn social sociale sécurité sozialversicherung national insurance nino passport identity identification steuer tax fiscal dni nif nie nir insee ausweis taxpayer identidad".split())
 OTHER_NUMBERS = frozenset(
     "ticket order build batch total invoice part serial version port retry isbn sku tracking vorgang bestellung rechnung auftrag commande facture pedido factura error count size bytes score coordinates seed commit sid queue timestamp took ms issn ean".split()
 )
-PLACE_WORDS = frozenset("address lives living live moved lists home street badge ship shipped deliver delivery lieferung wohnhaft wohnt adresse anschrift habite domicilié demeurant vive domicilio dirección reside resident".split())
+PLACE_WORDS = frozenset("address lives living live moved home street ship shipped deliver delivery lieferung wohnhaft wohnt adresse anschrift habite domicilié demeurant vive domicilio dirección reside resident".split())
 
 _STREET_EN = r"(?:street|road|lane|avenue|drive|terrace|court|close|way|boulevard|square|place|crescent|gardens|st|rd|ln|ave|dr|ter|ct|cl|blvd|sq|pl)\b\.?"
 _CAP = r"[^\W\d_a-zß-ÿ][^\W\d_]*(?:['’-][^\W\d_]+)*"
