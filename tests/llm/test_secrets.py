@@ -142,3 +142,25 @@ def test_frames(spark):
 
 def test_a_very_long_text(model):
     assert len(found(model, "x = 1\n" * 100_000 + 'TOKEN = "hT7xP2qLm9Zk41Wb"')) == 1
+
+
+def test_words_and_model_come_from_every_row(spark):
+    """Rows without words and candidates, four times what was once sampled, change neither counts, model nor finds."""
+    rows = [(i, t, s) for i, (t, s) in enumerate(sample(5, 30))]
+    df = spark.createDataFrame(rows, "entry_id bigint, text string, source string")
+    more = df.union(spark.range(1000, 25_000).selectExpr("id", "'1 + 1'", "null"))
+    finds = [{tuple(r) for r in S.find(x, "entry_id").collect()} for x in (df, more)]
+    model = S.fit([(t, s) for _, t, s in rows])
+    assert finds[0] == finds[1] == {(i, "text", 1) for i, t, s in rows if S.secrets(t, s, model)}
+    assert [r["text"] for r in S.redact(more).where("entry_id < 1000").orderBy("entry_id").collect()] == [S.replaced(t, s, model) for _, t, s in rows]
+
+
+def test_word_pairs_are_those_of_the_words():
+    text = "ab a xyz äbc A-de"
+    told = {(S.FROM[a], S.TO[b]): int(n) for (a, b), n in S.np.ndenumerate(S.word_pairs([text, None, "", "q"])) if n}
+    assert told == {("^", "a"): 1, ("a", "b"): 1, ("b", "$"): 1, ("^", "x"): 1, ("x", "y"): 1, ("y", "z"): 1, ("z", "$"): 1, ("^", "b"): 1, ("b", "c"): 1, ("c", "$"): 1, ("^", "d"): 1, ("d", "e"): 1, ("e", "$"): 1}
+
+
+def test_many_tasks_add_up_in_steps(spark):
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(sample(6, 40))], "entry_id bigint, text string, source string")
+    assert (S.total_of(df.repartition(3 * S.FAN), "text", S._pairs) == S.total_of(df.coalesce(1), "text", S._pairs)).all()
